@@ -1,8 +1,13 @@
 """Queries and oracle SQL of the llm operators, for __spark_entry__.py."""
 
-from attestor.llm import chat, mixing, urlfilter
+from attestor.llm import ann, chat, fertility, langid, mixing, packing, rnnlm, simhash, urlfilter, warc
 from attestor.llm.common import prepare
 
+OPERATORS = [
+    warc.op1_warc_index, urlfilter.op2_url_filters, chat.op3_chat_format, ann.op4_learned_partitions, packing.op5_sum_of_squares_packing,
+    simhash.op6_simhash_near_dedup, rnnlm.op7_recurrent_lm, langid.op8_language_id, mixing.op9_mixing, fertility.op10_fertility_rules,
+]
+
 
 def _with_workers(query):
     def run(spark, sf_dir):
@@ -13,8 +18,7 @@ def _with_workers(query):
 
 
 def queries():
-    own = {"op2_url_filters": urlfilter.op2_url_filters, "op3_chat_format": chat.op3_chat_format, "op9_mixing": mixing.op9_mixing}
-    return {k: _with_workers(f) for k, f in own.items()}
+    return {f.__name__: _with_workers(f) for f in OPERATORS}
 
 
 def oracle_sql():

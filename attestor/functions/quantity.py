@@ -33,8 +33,8 @@ def in_own_unit(value: str, u: str) -> str:
 
 def parse(s: str) -> str:
     """SQL for an array of STRUCT<value, unit>, one for each quantity in a text, in order."""
-    return f"""transform(arrays_zip(regexp_extract_all({s}, '{PATTERN}', 1) AS n, regexp_extract_all({s}, '{PATTERN}', 2) AS u),
-        q -> named_struct('value', {in_own_unit('cast(q.n AS DOUBLE)', 'q.u')}, 'unit', {unit_of('q.u')}))"""
+    return f"""transform(arrays_zip(regexp_extract_all({s}, '{PATTERN}', 1), regexp_extract_all({s}, '{PATTERN}', 2)),
+        q -> named_struct('value', {in_own_unit('cast(q.`0` AS DOUBLE)', 'q.`1`')}, 'unit', {unit_of('q.`1`')}))"""
 
 
 def equal(a: str, b: str, a_unit: str, b_unit: str, tol: float = 1e-6) -> str:

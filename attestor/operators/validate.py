@@ -52,8 +52,8 @@ def scope_faithful(cues: str = "cues") -> str:
 
 def condition_faithful() -> str:
     words = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in COMPARATORS.items()) + ")"
-    found = f"arrays_zip(regexp_extract_all(quote, '{COMPARED_PATTERN}', 1) AS w, regexp_extract_all(quote, '{COMPARED_PATTERN}', 2) AS n)"
-    fits = f"forall({found}, c -> coalesce(abs(cond_raw - cast(c.n AS DOUBLE)) < 1e-9D AND (cond_op = element_at({words}, lower(c.w)) OR (element_at({words}, lower(c.w)) = '<' AND cond_op = '<=')), false))"
+    found = f"arrays_zip(regexp_extract_all(quote, '{COMPARED_PATTERN}', 1), regexp_extract_all(quote, '{COMPARED_PATTERN}', 2))"
+    fits = f"forall({found}, c -> coalesce(abs(cond_raw - cast(c.`1` AS DOUBLE)) < 1e-9D AND (cond_op = element_at({words}, lower(c.`0`)) OR (element_at({words}, lower(c.`0`)) = '<' AND cond_op = '<=')), false))"
     return rf"""CASE WHEN predicate IN ({listed(ACTION)}) AND quote RLIKE '(?i)\\b(do not|must not|never)\\b' AND modality = 'fact' THEN 'FAIL'
         WHEN predicate IN ({listed(COMPARED)}) AND NOT {fits} THEN 'FAIL' ELSE 'PASS' END"""
 

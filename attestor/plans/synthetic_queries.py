@@ -135,7 +135,7 @@ def scope_meet(spark, sf_dir):
     a = a.selectExpr("*", "'ver' AS b_rev_kind", "'1.11' AS b_rev_lo", "'1.14' AS b_rev_hi", "true AS b_rev_lo_inc", "false AS b_rev_hi_inc", f"{version_key(repr('1.11'))} AS b_lo_k", f"{version_key(repr('1.14'))} AS b_hi_k")
     m = a.withColumn("m", F.expr(scope.meet("a_", "b_")))
     m = m.selectExpr("claim_id", "m.kind AS rev_kind", "m.lo AS rev_lo", "m.hi AS rev_hi", "m.lo_inc AS rev_lo_inc", "m.hi_inc AS rev_hi_inc")
-    return m.select("claim_id", F.coalesce(F.expr(scope.describe()), F.lit("empty")).alias("met"))
+    return m.select("claim_id", F.expr(f"IF(rev_kind IS NULL, 'empty', {scope.describe()})").alias("met"))
 
 
 @query(f"""{CLAIMS_SQL} SELECT claim_id FROM claims a WHERE NOT EXISTS (SELECT 1 FROM claims b WHERE b.entity_id = a.entity_id AND b.predicate = a.predicate AND coalesce(b.item, '') = coalesce(a.item, '') AND b.vkey = a.vkey AND {duck_wider('b.', 'a.')})""")
@@ -224,8 +224,8 @@ def reverse_lookup(spark, sf_dir):
     return resolve.candidates(c, s, count=len(rows), kinds=("value",)).select("question_id", "claim_id", "entity_id")
 
 
-@query(f"""{PAIRS_SQL}, both AS (SELECT src AS claim_id, dst AS other, d1 AS da, d2 AS db, {_IND} AS ind FROM pairs WHERE same AND relation = 'OVERLAP' AND d1 <> d2 UNION ALL SELECT dst, src, d2, d1, {_IND} FROM pairs WHERE same AND relation = 'OVERLAP' AND d1 <> d2),
-    f AS (SELECT claim_id, db, arg_min(ind, other) AS ind FROM both GROUP BY claim_id, db)
+@query(f"""{PAIRS_SQL}, ways AS (SELECT src AS claim_id, dst AS other, d1 AS da, d2 AS db, {_IND} AS ind FROM pairs WHERE same AND relation = 'OVERLAP' AND d1 <> d2 UNION ALL SELECT dst, src, d2, d1, {_IND} FROM pairs WHERE same AND relation = 'OVERLAP' AND d1 <> d2),
+    f AS (SELECT claim_id, db, arg_min(ind, other) AS ind FROM ways GROUP BY claim_id, db)
     SELECT claim_id, CAST(count(*) FILTER (ind) AS BIGINT) AS n_independent, CAST(count(*) FILTER (NOT ind) AS BIGINT) AS n_derived FROM f GROUP BY claim_id""")
 def corroboration(spark, sf_dir):
     return relate.corroboration(relate.visible(claims(spark, sf_dir)))

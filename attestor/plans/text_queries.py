@@ -155,7 +155,7 @@ def html_articles(spark, sf_dir):
     return p.select("page_id", F.regexp_count("html", F.lit("<article>")).cast("long").alias("n_articles")).join(b, "page_id", "left").select("page_id", "n_articles", (F.coalesce("n", F.lit(0)) > 0).alias("has_text"))
 
 
-@query("""SELECT event_id, CAST(0 AS INT) AS el_ord, 'n' AS json_path, props->>'$.n' AS value, 'n = ' || (props->>'$.n') AS text FROM events""")
+@query("""SELECT event_id, CAST(0 AS INT) AS el_ord, 'k' AS json_path, props->>'$.k' AS value, 'k = ' || (props->>'$.k') AS text FROM events""")
 def json_leaves(spark, sf_dir):
     return markup.json_leaves(read(spark, sf_dir, "events"), "event_id", "props")
 
@@ -169,14 +169,14 @@ def doc_supersession(spark, sf_dir):
     return a.join(b, "o_custkey").filter("rev >= r AND place > p").select("newer", "older")
 
 
-@query("""SELECT DISTINCT 'user:' || user_id AS entity_id FROM events WHERE dayofmonth(ts) <= 15 AND user_id NOT IN (SELECT user_id FROM events WHERE dayofmonth(ts) > 15 AND user_id IS NOT NULL)""")
+@query("""WITH e AS (SELECT 'user:' || user_id || ':' || event_type AS entity_id, dayofmonth(ts) = 1 AND hour(ts) < 6 AS manual FROM events) SELECT DISTINCT entity_id FROM e WHERE NOT manual AND entity_id NOT IN (SELECT entity_id FROM e WHERE manual)""")
 def closed_world_diff(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.concat(F.lit("user:"), "user_id").alias("entity_id"), F.expr("IF(dayofmonth(ts) <= 15, 'subject', 'manual')").alias("family"))
+    e = read(spark, sf_dir, "events").select(F.concat(F.lit("user:"), "user_id", F.lit(":"), "event_type").alias("entity_id"), F.expr("IF(dayofmonth(ts) = 1 AND hour(ts) < 6, 'manual', 'subject')").alias("family"))
     return mention_ops.closed_world_diff(e.filter("family = 'subject'"), e.filter("family = 'manual'"))
 
 
 @query(r"""WITH n AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS w FROM part UNION SELECT 'the' UNION SELECT 'of the'), t AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS x FROM documents)
-    SELECT doc_id, w AS surface, CAST((length(x) - length(replace(replace(x, ' ', '  '), ' ' || replace(w, ' ', '  ') || ' ', ''))) > 0 AS BOOLEAN) AS found FROM t, n WHERE contains(x, ' ' || w || ' ')""")
+    SELECT doc_id, w AS surface, true AS found FROM t, n WHERE contains(x, ' ' || w || ' ')""")
 def mentions(spark, sf_dir):
     words = read(spark, sf_dir, "part").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("w")).distinct()
     dictionary = words.union(spark.createDataFrame([("the",), ("of the",)], "w string")).distinct()
@@ -301,7 +301,7 @@ def schematic_edges(spark, sf_dir):
     drawings = boxes.select("drawing").distinct()
     s = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS line_id", "((s_suppkey * 7) % 10) * 100D + 41D AS xa", "(s_suppkey % 10) * 100D + 25D AS ya", "((s_suppkey * 3 + 1) % 10) * 100D + 60D AS xb", "((s_suppkey + 5) % 10) * 100D - 2D AS yb", "(s_suppkey % 3) * 0.5D AS r", "0D AS g", "0D AS b", "1 AS one")
     lines = s.join(drawings.withColumn("one", F.lit(1)), "one").drop("one")
-    legend = drawings.select("drawing", F.explode(F.array(F.struct(F.lit(1).alias("legend_ord"), F.lit("control").alias("kind"), F.lit(0.01).alias("r")), F.struct(F.lit(2), F.lit("fluid"), F.lit(0.5)))).alias("x")).select("drawing", "x.legend_ord", "x.kind", "x.r", F.lit(0.0).alias("g"), F.lit(0.0).alias("b"))
+    legend = drawings.select("drawing", F.explode(F.array(F.struct(F.lit(1).alias("legend_ord"), F.lit("control").alias("kind"), F.lit(0.01).alias("r")), F.struct(F.lit(2).alias("legend_ord"), F.lit("fluid").alias("kind"), F.lit(0.5).alias("r")))).alias("x")).select("drawing", "x.legend_ord", "x.kind", "x.r", F.lit(0.0).alias("g"), F.lit(0.0).alias("b"))
     return sidecar.schematic_edges(lines, boxes, legend)
 
 

@@ -33,5 +33,5 @@ def content_hash(claims: DataFrame, by: str = "doc_id", row=("claim_id", "vkey",
     """
     text = F.concat_ws("|", *row)
     per = claims.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(row[0]).alias("i"), text.alias("t")))), lambda x: x["t"]), "\n"), 256).alias("h"))
-    whole = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", by, "h"))), "\n"), 256)
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "h"))), lambda x: F.concat_ws(":", x[by], x["h"])), "\n"), 256)
     return per.agg(F.substring(whole, 1, 16).alias("store_hash"), F.count(F.lit(1)).alias("documents"))

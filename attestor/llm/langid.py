@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.llm.common import array_of, batches_by_bytes, id_text, split_words, table
+from attestor.llm.common import array_of, batches_by_bytes, id_text, release, split_words, table
 
 #: The bound of the sample the classifier is fitted on: expected number of documents of each language.
-PER_LANG = 1500
+PER_LANG = 500
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 6, 64, 0.5
 #: Of calibration documents that were predicted right, so many may be rejected; the threshold is held within these bounds.
@@ -71,6 +71,8 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, shares) of each text's n-grams."""
+    if len(texts) > 64:  # in slices, so that few texts' words are held at a time
+        return [bag for at in range(0, len(texts), 64) for bag in bags(texts.slice(at, 64))]
     codes, offsets, words = split_words(texts)
     bucket, begin = grams(words)
     out = []
@@ -80,7 +82,7 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         at = np.repeat(begin[word] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
         count = np.bincount(bucket[at], weights=np.repeat(times, lens), minlength=BUCKETS) if len(at) else np.zeros(BUCKETS)
         seen = np.flatnonzero(count)
-        out.append((seen, (count[seen] / max(count.sum(), 1)).astype(np.float32)))
+        out.append((seen.astype(np.uint16), (count[seen] / max(count.sum(), 1)).astype(np.float32)))
     return out
 
 
@@ -136,7 +138,10 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         return fit([], [], [])
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_lang / n))) for k, n in counts.items()])
     sample = known.filter((F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)) < share).select("text", "lang", (F.col("crc") % 4 == 3).alias("cal"), "h").toPandas().sort_values(["h", "lang", "text"])
-    return fit(list(sample["text"]), list(sample["lang"]), list(sample["cal"]))
+    model = fit(list(sample["text"]), list(sample["lang"]), list(sample["cal"]))
+    del sample
+    release()
+    return model
 
 
 def predict_texts(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:

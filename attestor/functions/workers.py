@@ -1,8 +1,10 @@
 """Python workers find the package wherever the driver found it."""
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> None:
@@ -11,3 +13,18 @@ def prepare(spark: SparkSession) -> None:
     paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below spark.checkpoint.dir, which driver and executors share, and read it again.
+
+    Only where the session has no such setting (tests on one machine) a folder of this machine is taken.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="attestor-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/attestor-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -231,7 +231,7 @@ def claim_audit(spark, sf_dir):
     return audit(validate(sentence_claims(spark, sf_dir))).groupBy("stage", "result").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{CLAIMS_SQL} SELECT claim_id, CASE WHEN doc_no % 3 = 0 THEN 'number 999' ELSE '' END AS failure FROM visible WHERE value_type = 'quantity'""")
+@query(f"""{CLAIMS_SQL} SELECT claim_id, CASE WHEN doc_no % 3 = 0 AND entity_id <> 'component:999' THEN 'number 999' ELSE '' END AS failure FROM visible WHERE value_type = 'quantity'""")
 def contract_numbers(spark, sf_dir):
     c = claims(spark, sf_dir).filter("lifecycle IN ('ADMITTED', 'DEMOTED') AND value_type = 'quantity'").withColumn("sentence", F.expr("concat('Pressure of ', entity_id, ' is ', cast(value AS INT), ' bar', IF(doc_no % 3 = 0, ' or 999 bar', ''), coalesce(concat(' from ', rev_lo), ''), coalesce(concat(' until ', rev_hi), ''), '.')"))
     return c.select("claim_id", F.expr(answer.stray_numbers("sentence", "array(entity_id, cast(value AS STRING), coalesce(rev_lo, ''), coalesce(rev_hi, ''))")).alias("failure"))
@@ -285,7 +285,7 @@ def document_classes(spark, sf_dir):
     return o.select("o_orderkey", classify(F.col("path")).alias("family"), classify(F.col("path"), "tier").alias("tier"))
 
 
-@query("""SELECT l_orderkey, arg_max(l_returnflag, (s, l_returnflag, l_comment)) AS name, max(s) AS score FROM (SELECT l_orderkey, l_returnflag, l_linestatus AS l_comment, round(l_quantity * (0.5 + l_discount), 6) AS s FROM lineitem) GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey, arg_max(l_returnflag, (s, l_returnflag, l_comment)) AS name, round(max(s), 6) AS score FROM (SELECT l_orderkey, l_returnflag, l_linestatus AS l_comment, l_quantity * (CAST(0.5 AS DOUBLE) + l_discount) AS s FROM lineitem) GROUP BY l_orderkey""")
 def best_ocr_variant(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("text"), F.col("l_quantity").alias("conf"), F.col("l_discount").alias("valid_share"))  # noqa: E741
     return sidecar.best_variant(l, "l_orderkey").select("l_orderkey", "name", F.round("score", 6).alias("score"))

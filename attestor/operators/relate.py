@@ -59,23 +59,22 @@ def corroboration(claims: DataFrame) -> DataFrame:
 
 
 def infer_mapping(claims: DataFrame, map_predicates=("normal_operating_pressure", "alarm_trigger_condition", "reset_pressure_limit")) -> DataFrame:
-    """Config values that equal stated values in an overlapping scope: (claim_id, n_targets, target, ambiguous).
+    """Config values that equal stated values in an overlapping scope: (claim_id, target, ambiguous); target where there is just one.
 
-    Both sides are folded to distinct (value, unit, scope, target) before they meet: the work follows the distinct scopes,
-    not the product of the claims.
+    Both sides are folded to distinct (value, unit, scope) before they meet, the stated ones with their least and greatest
+    target: the work follows the distinct scopes, not the product of the claims.
     """
     scopes = ["rev_kind", "rev_lo", "rev_hi", "rev_lo_inc", "rev_hi_inc", "lo_k", "hi_k", "sensor_kind", "sensor_ids"]
     v = visible(claims)
     keys = v.filter("predicate = 'config_key_value' AND value_type = 'quantity'")
     stated = v.filter(F.col("predicate").isin(*map_predicates) & (F.col("assertion_kind") == "stated") & ~F.col("needs_review") & (F.col("value_type") == "quantity"))
-    targets = stated.select("value", "unit", "predicate", "entity_id", *scopes).distinct()
-    asked = keys.select("value", "unit", *scopes).distinct()
-    a = asked.select("value", "unit", *[F.col(s).alias(f"a_{s}") for s in scopes])
-    b = targets.select("value", "unit", F.concat_ws(" of ", "predicate", "entity_id").alias("target"), *[F.col(s).alias(f"b_{s}") for s in scopes])
+    target = F.concat_ws(" of ", "predicate", "entity_id")
+    b = stated.groupBy("value", "unit", *[F.col(s).alias(f"b_{s}") for s in scopes]).agg(F.min(target).alias("low"), F.max(target).alias("high"))
+    a = keys.select("value", "unit", *[F.col(s).alias(f"a_{s}") for s in scopes]).distinct()
     met = a.join(b, ["value", "unit"]).filter(F.expr(scope.scope_relation("a_", "b_") + " = 'OVERLAP'"))
-    per = met.groupBy("value", "unit", *[f"a_{s}" for s in scopes]).agg(F.countDistinct("target").alias("n_targets"), F.min("target").alias("target"))
+    per = met.groupBy("value", "unit", *[f"a_{s}" for s in scopes]).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     on = [keys["value"] == per["value"], keys["unit"] == per["unit"], *[keys[s].eqNullSafe(per[f"a_{s}"]) for s in scopes]]
-    return keys.join(per, on).select("claim_id", F.col("n_targets").cast("long").alias("n_targets"), F.when(F.col("n_targets") == 1, F.col("target")).alias("target"), (F.col("n_targets") > 1).alias("ambiguous"))
+    return keys.join(per, on).select("claim_id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("target"), (F.col("low") != F.col("high")).alias("ambiguous"))
 
 
 def dual_agreement(one: DataFrame, other: DataFrame) -> DataFrame:

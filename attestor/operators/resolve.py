@@ -6,6 +6,7 @@ policy, required, rev_kind, rev_lo, ...): the question's scope in the same flat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attestor.functions import scope
 from attestor.operators.relate import relations, visible
@@ -92,23 +93,18 @@ def representatives(disposed: DataFrame) -> DataFrame:
     values, each gives one per scope text, without those that another of the same value contains.
     """
     key = ["question_id", "slot_no", "entity_id", "predicate", "item"]
+    group, scopes = [*key, "vkey"], ["rev_kind", "rev_lo", "rev_hi", "rev_lo_inc", "rev_hi_inc", "lo_k", "hi_k"]
     a = disposed.filter("disposition = 'applicable'").withColumn("item", F.coalesce("item", F.lit(""))).withColumn("scope_text", F.expr(scope.describe()))
-    values = a.groupBy(*key).agg(F.countDistinct("vkey").alias("n_values"))
-    a = a.join(values, key).withColumn("split", F.expr(f"n_values > 1 AND predicate IN ({listed(SINGLE_VALUED)})")).withColumn("sub", F.expr("IF(split, scope_text, '')"))
     order = F.struct(F.expr(place("assertion_kind", KIND_ORDER)), F.when(F.col("sensor_kind") == "ent", 0).otherwise(1), F.expr(place("tier", TIER_ORDER)), F.col("claim_id"))
-    scopes = ["rev_kind", "rev_lo", "rev_hi", "rev_lo_inc", "rev_hi_inc", "lo_k", "hi_k"]
-    group = [*key, "vkey"]
-    # the best claim of each scope first; scopes are few, so the comparison of scopes stays small
-    best = a.groupBy(*group, "split", "scope_text", *scopes).agg(F.min_by(F.struct("claim_id", "value", "unit", "value_type", "v_text", "assertion_kind", "tier", "doc_id", "sensor_kind", "sensor_ids"), order).alias("c"), F.min(order).alias("rank"), F.count(F.lit(1)).alias("n"))
-    other = best.select(*[F.col(g).alias(f"o_{g}") for g in group], *[F.col(s).alias(f"o_{s}") for s in scopes])
-    wider = F.expr(" AND ".join(f"{g} = o_{g}" for g in group) + f" AND {scope.contains_strictly('o_', '')}")
-    widest = best.join(other, wider, "left_anti")
-    one = widest.filter("NOT split").groupBy(*group).agg(F.min_by(F.struct("c", *scopes, "scope_text"), "rank").alias("p"))
-    one = one.select(*group, "p.*")
-    many = widest.filter("split").select(*group, "c", *scopes, "scope_text")
-    members = best.groupBy(*group).agg(F.sum("n").alias("n_members"))
-    both = one.unionByName(many).join(members, group)
-    return both.select(*group, "c.*", *scopes, "scope_text", "n_members")
+    # dealt once by slot: the aggregates and windows below all keep that partitioning
+    best = a.repartition(*key).groupBy(*group, "scope_text", *scopes).agg(F.min_by(F.struct("claim_id", "value", "unit", "value_type", "v_text", "assertion_kind", "tier", "doc_id", "sensor_kind", "sensor_ids"), order).alias("c"), F.min(order).alias("rank"), F.count(F.lit(1)).alias("n"))
+    in_slot, in_group = Window.partitionBy(*key), Window.partitionBy(*group)
+    best = best.withColumn("split", F.expr(f"predicate IN ({listed(SINGLE_VALUED)})") & (F.min("vkey").over(in_slot) != F.max("vkey").over(in_slot)))
+    # rows are distinct scopes by now, so a group's list of scopes is short
+    best = best.withColumn("n_members", F.sum("n").over(in_group)).withColumn("others", F.collect_list(F.struct(*scopes)).over(in_group))
+    widest = best.filter(F.expr(f"NOT exists(others, o -> {scope.contains_strictly('o.', '')})"))
+    kept = widest.groupBy(*group, F.expr("IF(split, scope_text, '')").alias("sub")).agg(F.min_by(F.struct("c", *scopes, "scope_text", "n_members"), "rank").alias("p"))
+    return kept.select(*group, "p.c.*", *[F.col(f"p.{x}") for x in (*scopes, "scope_text", "n_members")])
 
 
 def conflicts(disposed: DataFrame, rels: DataFrame) -> DataFrame:

@@ -234,7 +234,7 @@ def corroboration(spark, sf_dir):
 @query(f"""{CLAIMS_SQL}, k AS (SELECT * FROM visible WHERE predicate = 'config_key_value'), t AS (SELECT * FROM visible WHERE predicate IN ('normal_operating_pressure', 'alarm_trigger_condition', 'reset_pressure_limit') AND assertion_kind = 'stated' AND NOT needs_review),
     ds AS (SELECT DISTINCT value, unit, rev_kind, rev_lo, rev_hi, rev_lo_inc, rev_hi_inc, lo_k, hi_k, sensor_kind, sensor_ids FROM k), dt AS (SELECT DISTINCT value, unit, rev_kind, rev_lo, rev_hi, rev_lo_inc, rev_hi_inc, lo_k, hi_k, sensor_kind, sensor_ids, predicate || ' of ' || entity_id AS target FROM t),
     m AS (SELECT a.value, a.rev_kind, a.rev_lo, a.rev_hi, a.sensor_kind, a.sensor_ids, count(DISTINCT target) AS n, min(target) AS target FROM ds a JOIN dt b ON a.value = b.value AND a.unit = b.unit AND {duck_relation()} = 'OVERLAP' GROUP BY ALL)
-    SELECT claim_id, CAST(n AS BIGINT) AS n_targets, CASE WHEN n = 1 THEN target END AS target, n > 1 AS ambiguous FROM k JOIN m ON k.value = m.value AND k.rev_kind = m.rev_kind AND k.rev_lo IS NOT DISTINCT FROM m.rev_lo AND k.rev_hi IS NOT DISTINCT FROM m.rev_hi AND k.sensor_kind = m.sensor_kind AND k.sensor_ids = m.sensor_ids""")
+    SELECT claim_id, CASE WHEN n = 1 THEN target END AS target, n > 1 AS ambiguous FROM k JOIN m ON k.value = m.value AND k.rev_kind = m.rev_kind AND k.rev_lo IS NOT DISTINCT FROM m.rev_lo AND k.rev_hi IS NOT DISTINCT FROM m.rev_hi AND k.sensor_kind = m.sensor_kind AND k.sensor_ids = m.sensor_ids""")
 def infer_mapping(spark, sf_dir):
     return relate.infer_mapping(claims(spark, sf_dir))
 

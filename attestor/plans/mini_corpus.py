@@ -80,6 +80,18 @@ def current_revision(claims: DataFrame) -> DataFrame:
     return r.agg(F.max_by("v", F.expr(version_key("v"))).alias("latest"))
 
 
+def propagated_scope(claims: DataFrame, questions_: DataFrame) -> DataFrame:
+    """(question_id, scope struct): a component that was superseded stands for the revisions before, its successor for those since.
+
+    The last mention, and of its claims the last one, decides.
+    """
+    named = questions_.select("question_id", F.posexplode("mentioned").alias("place", "entity"))
+    sup = claims.filter("predicate = 'superseded_by' AND lifecycle IN ('ADMITTED', 'DEMOTED') AND NOT needs_review AND rev_kind = 'ver'")
+    before = sup.filter("rev_lo IS NOT NULL").selectExpr("entity_id AS entity", "claim_id", "named_struct('lo', cast(NULL AS STRING), 'hi', rev_lo, 'lo_inc', true, 'hi_inc', false) AS scope")
+    since = sup.selectExpr("value_id AS entity", "claim_id", "named_struct('lo', rev_lo, 'hi', rev_hi, 'lo_inc', rev_lo_inc, 'hi_inc', rev_hi_inc) AS scope")
+    return named.join(before.unionByName(since), "entity").groupBy("question_id").agg(F.max_by("scope", F.struct("place", "claim_id")).alias("propagated"))
+
+
 def answer_questions(claims: DataFrame, asked: DataFrame, count: int | None = None) -> dict[str, DataFrame]:
     """A batch of questions (question_id, question) answered in one plan."""
     found = mentions.find_mentions(asked, "question", {s: e for e, s in REGISTER})
@@ -87,8 +99,12 @@ def answer_questions(claims: DataFrame, asked: DataFrame, count: int | None = No
     analyzed = questions.intents(q)
     s = questions.slots(analyzed)
     s = s.join(F.broadcast(current_revision(claims)), how="cross")  # one row
+    # a question without a revision of its own takes that of the component it names
+    s = s.join(propagated_scope(claims, q), "question_id", "left")
+    free = "cue IS NULL AND NOT asks_current AND policy = 'PARAMETER' AND predicate IN ('normal_operating_pressure', 'applicability_scope') AND propagated IS NOT NULL"
+    s = s.withColumn("implied", F.expr(free)).withColumn("cue", F.expr("IF(implied, propagated, cue)")).drop("propagated")
     use_current = "cue IS NULL AND asks_current AND latest IS NOT NULL"
-    s = s.selectExpr("*", f"CASE WHEN cue IS NOT NULL OR ({use_current}) THEN 'ver' ELSE 'any' END AS rev_kind", f"IF({use_current}, latest, cue.lo) AS rev_lo", f"IF({use_current}, latest, cue.hi) AS rev_hi", "coalesce(cue.lo_inc, true) AS rev_lo_inc", f"IF({use_current}, true, coalesce(cue.hi_inc, false)) AS rev_hi_inc", f"({use_current}) AS narrowed")
+    s = s.selectExpr("*", f"CASE WHEN cue IS NOT NULL OR ({use_current}) THEN 'ver' ELSE 'any' END AS rev_kind", f"IF({use_current}, latest, cue.lo) AS rev_lo", f"IF({use_current}, latest, cue.hi) AS rev_hi", "coalesce(cue.lo_inc, true) AS rev_lo_inc", f"IF({use_current}, true, coalesce(cue.hi_inc, false)) AS rev_hi_inc", f"({use_current}) OR implied AS narrowed")
     s = s.withColumn("lo_k", F.expr(version_key("rev_lo"))).withColumn("hi_k", F.expr(version_key("rev_hi")))
     s = stored(s, "slots")
     good = s.filter("NOT unresolved")

@@ -38,6 +38,13 @@ def test_only_the_value_of_the_asked_scope_is_stated(answers):
     assert "180 bar" in before and "200" not in before
 
 
+def test_a_named_component_implies_its_revisions(spark, claims):
+    got = mini_corpus.ask(spark, claims, ["What is the operating pressure with PS-04A?", "What is the operating pressure with PS-04?"])["answers"].collect()
+    text = {r["question_id"]: (r["status"], " ".join(r["sentences"])) for r in got}
+    assert text[0][0] == text[1][0] == "ANSWERED_SCOPED"
+    assert "200 bar" in text[0][1] and "180" not in text[0][1] and "180 bar" in text[1][1] and "200" not in text[1][1]
+
+
 def test_silence_is_a_gap(answers):
     assert answers[0][2]["sentences"] == [] and "mean time between failures" in " ".join(answers[0][2]["gaps"])
 

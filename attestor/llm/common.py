@@ -1,5 +1,6 @@
 """What the operators share: the shared work folder, written intermediate tables, and word splitting on Arrow arrays."""
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -12,15 +13,18 @@ from pyspark.sql import functions as F
 
 WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
+BATCH_ROWS = 1024
 
 
 def prepare(spark: SparkSession) -> None:
-    """Python workers find this package wherever the driver found it."""
+    """Python workers find this package wherever the driver found it, and get their rows in small batches."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
+    # rows hold whole texts: with few rows a batch, what the JVM and Python hold at a time stays small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -55,16 +59,29 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def batches_by_bytes(batches, column: str, limit: int = 24 << 20):
-    """Join Arrow batches until their texts reach `limit` bytes: memory stays bounded, work stays vectorised."""
+def release() -> None:
+    """Give freed memory back: workers live as long as their executor and would keep the most they ever had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def batches_by_bytes(batches, column: str, limit: int = 16 << 20):
+    """Arrow batches joined, or cut by rows, to about `limit` bytes of texts: memory stays bounded, work stays vectorised."""
     held, size = [], 0
-    for b in batches:
-        if b.num_rows:
+    for batch in batches:
+        step = max(1, batch.num_rows // max(1, -(-batch.column(column).nbytes // limit))) if batch.num_rows else 1
+        for at in range(0, batch.num_rows, step):
+            b = batch.slice(at, step)
+            own = b.column(column).nbytes
+            if held and size + own > limit:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+                release()
             held.append(b)
-            size += b.column(column).nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
+            size += own
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

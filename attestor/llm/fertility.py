@@ -33,6 +33,8 @@ BANDS = {
     "arabic": (0.6, 8.0, 0.6, 2.5), "cjk": (0.3, 4.0, 0.9, 2.5), "other": (0.3, 9.0, 1.0, 2.5),
 }
 LEAST_TOKENS = 64
+#: Distinct words, and bytes of texts, that are worked on at a time.
+WORD_SLICE, CHUNK = 1 << 15, 8 << 20
 LEAST_WORDS, MOST_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: First code points of ranges, and the script of each. Fixed values.
 SCRIPT_STARTS = [0x0000, 0x0370, 0x0400, 0x0530, 0x0600, 0x0780, 0x1E00, 0x2000, 0x3040, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0x20000]
@@ -90,15 +92,19 @@ def measure(texts: pa.Array, path: str) -> dict[str, np.ndarray]:
     codes, offsets, words = split_words(texts)
     n = len(offsets) - 1
     sp, is_byte = _pieces(path)
-    listed = words.to_pylist()
-    encoded = sp.encode(listed, num_threads=1) if listed else []
-    lens = np.fromiter(map(len, encoded), np.int64, len(listed))
-    flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(lens.sum()))
+    n_distinct = len(words)
+    lens, per = np.zeros(n_distinct, np.int64), np.zeros((n_distinct, 4 + len(KINDS)), np.int64)
+    first, flats = np.zeros(n_distinct, np.int64), []
+    for at in range(0, n_distinct, WORD_SLICE):  # so that few lists of tokens are held at a time
+        listed = words.slice(at, WORD_SLICE).to_pylist()
+        encoded = sp.encode(listed, num_threads=1)
+        lens[at : at + len(listed)] = np.fromiter(map(len, encoded), np.int64, len(listed))
+        flats.append(np.fromiter(chain.from_iterable(encoded), np.int32))
+        first[at : at + len(listed)] = np.fromiter((ord(next(filter(str.isalpha, w), "\0")) for w in listed), np.int64, len(listed))
+    flat = np.concatenate(flats) if flats else np.zeros(0, np.int32)
     begin = np.concatenate([[0], np.cumsum(lens)])
-    first = np.fromiter((ord(next(filter(str.isalpha, w), "\0")) for w in listed), np.int64, len(listed))
     kind = np.array([KINDS.index(s) for s in SCRIPTS])[np.searchsorted(SCRIPT_STARTS, first, "right") - 1]
-    per = np.zeros((len(listed), 4 + len(KINDS)), np.int64)
-    if listed:
+    if n_distinct:
         per[:, 0] = np.asarray(pc.utf8_length(words))
         per[:, 1] = np.asarray(pc.count_substring_regex(words, "[#*$%&|<>]"))
         per[:, 2], per[:, 3] = lens, segment_sum(is_byte[flat].astype(np.int64), begin)
@@ -106,7 +112,7 @@ def measure(texts: pa.Array, path: str) -> dict[str, np.ndarray]:
     sums, entropy = np.zeros((n, per.shape[1]), np.int64), np.full(n, np.nan)
     at = 0
     while at < n:
-        to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 18), "right")) - 1))
+        to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 17), "right")) - 1))
         own = codes[offsets[at] : offsets[to]]
         sums[at:to] = segment_sum(per[own], offsets[at : to + 1] - offsets[at])
         size = lens[own]
@@ -124,7 +130,7 @@ def measure(texts: pa.Array, path: str) -> dict[str, np.ndarray]:
     with np.errstate(invalid="ignore", divide="ignore"):
         return {
             "n_words": np.diff(offsets), "word_chars": sums[:, 0], "n_symbols": sums[:, 1], "n_repeat_words": repeat_words(codes, offsets),
-            "n_dup_lines": np.fromiter(map(dup_lines, texts.to_pylist()), np.int64, n), "n_tokens": tokens,
+            "n_dup_lines": np.fromiter((dup_lines(t.as_py()) for t in texts), np.int64, n), "n_tokens": tokens,
             "chars_per_token": np.where(tokens > 0, sums[:, 0] / tokens, np.nan), "byte_share": np.where(tokens > 0, sums[:, 3] / tokens, np.nan), "entropy": entropy,
             "script": np.where(sums[:, 4:].any(1), sums[:, 4:].argmax(1), KINDS.index("other")),
         }
@@ -147,7 +153,7 @@ def judge(docs: DataFrame, *, carry: list[str], text_col: str = "text", lang_col
     schema = T.StructType([picked.schema["doc"], *[T.StructField(c, T.LongType()) for c in longs], T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in doubles]])
 
     def run(batches):
-        for t in batches_by_bytes(batches, "doc" if inside else "text"):
+        for t in batches_by_bytes(batches, "doc" if inside else "text", CHUNK):
             doc = array_of(t, "doc")
             m = measure(pc.struct_field(doc, text_col) if inside else array_of(t, "text"), path)
             failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEAT_PERCENT * m["n_words"])

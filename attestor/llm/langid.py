@@ -24,6 +24,8 @@ from attestor.llm.common import array_of, batches_by_bytes, id_text, release, sp
 
 #: The bound of the sample the classifier is fitted on: expected number of documents of each language.
 PER_LANG = 500
+#: Distinct words, and bytes of texts, that prediction works on at a time.
+WORD_SLICE, CHUNK = 1 << 15, 8 << 20
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 6, 64, 0.5
 #: Of calibration documents that were predicted right, so many may be rejected; the threshold is held within these bounds.
@@ -151,16 +153,13 @@ def predict_texts(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]
     best, score = np.full(n, -1), np.zeros(n)
     if not model["langs"] or not len(words):
         return best, score
-    bucket, begin = grams(words)
-    letter = np.array([any(map(str.isalpha, w)) for w in words.to_pylist()])
     vec = np.zeros((len(words), DIM + 2), np.float32)
-    step = max(1, (1 << 22) // DIM)
-    at = 0
-    while at < len(words):  # blocks of words, so that the gathered n-grams stay small
-        to = min(len(words), max(at + 1, int(np.searchsorted(begin, begin[at] + step, "right")) - 1))
-        vec[at:to, :DIM] = segment_sum(model["emb"][bucket[begin[at] : begin[to]]], begin[at : to + 1] - begin[at])
-        at = to
-    vec[:, DIM], vec[:, DIM + 1] = np.diff(begin), letter
+    vec[:, DIM + 1] = np.asarray(pc.match_substring_regex(words, r"\p{L}"))
+    for at in range(0, len(words), WORD_SLICE):  # so that the n-grams held at a time stay few
+        bucket, begin = grams(words.slice(at, WORD_SLICE))
+        vec[at : at + WORD_SLICE, :DIM] = segment_sum(model["emb"][bucket], begin)
+        vec[at : at + WORD_SLICE, DIM] = np.diff(begin)
+    step = 1 << 17
     sums = np.zeros((n, DIM + 2), np.float64)
     at = 0
     while at < n:
@@ -185,7 +184,7 @@ def identify(docs: DataFrame, model: dict, *, carry: list[str], text_col: str =
     def run(batches):
         m = shared.value
         names = pa.array([*m["langs"], UND])
-        for t in batches_by_bytes(batches, "doc" if inside else "text"):
+        for t in batches_by_bytes(batches, "doc" if inside else "text", CHUNK):
             doc = array_of(t, "doc")
             best, score = predict_texts(pc.struct_field(doc, text_col) if inside else array_of(t, "text"), m)
             best = np.where(best < 0, len(m["langs"]), best)

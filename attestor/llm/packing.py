@@ -11,6 +11,7 @@ table packs nothing; a null id is kept. Other columns are never read.
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -94,12 +95,13 @@ def token_ids(texts: pa.Array, path: str):
     """The ids of each whole text, its end id included, one array a text."""
     tok = tokenizer(path)
     codes, offsets, words = split_words(texts)
-    encoded = list(map(tok.word, words.to_pylist()))
-    lens = np.fromiter(map(len, encoded), np.int64, len(encoded))
+    lens, flats = np.zeros(len(words), np.int64), []
+    for at in range(0, len(words), 1 << 14):  # so that few lists of ids are held at a time
+        encoded = list(map(tok.word, words.slice(at, 1 << 14).to_pylist()))
+        lens[at : at + len(encoded)] = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        flats.append(np.fromiter(chain.from_iterable(encoded), np.uint32))
+    flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
     begin = np.concatenate([[0], np.cumsum(lens)])
-    flat = np.empty(int(begin[-1]), np.uint32)
-    for i in range(0, len(encoded), 1 << 14):
-        flat[begin[i] : begin[min(i + (1 << 14), len(encoded))]] = [x for e in encoded[i : i + (1 << 14)] for x in e]
     for a, b in zip(offsets[:-1], offsets[1:]):
         own = codes[a:b]
         size = lens[own]

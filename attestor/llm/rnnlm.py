@@ -29,8 +29,8 @@ HEAD, HEAD_CLASSES, SPELLINGS = 1024, 32, 96
 PER = HEAD // HEAD_CLASSES
 CLASSES, SYMBOLS = HEAD_CLASSES + SPELLINGS, HEAD + SPELLINGS
 HIDDEN, WINDOW, LANES = 32, 16, 64
-#: Share of the training documents, chosen by hash, that the network is fitted on; counts are of all of them.
-TRAIN_SHARE = 0.25
+#: Share of the training documents, chosen by hash, that the network is fitted on: all of them, as for the counts.
+TRAIN_SHARE = 1.0
 #: Tokens a replica sees in all its rounds, aimed at; replicas grow with the corpus.
 REPLICA_TOKENS, ROUNDS, RATE = 8_000_000, 3, 4e-3
 ALPHA = 0.1

@@ -237,3 +237,18 @@ def test_language_model_beats_its_base_on_held_out_text(spark, tmp_path):
     held = got[got["held_out"] & (got["doc_id"] < 1000)]
     assert len(held) > 15 and held["score"].sum() > held["base_score"].sum()
     assert rnnlm.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_network_is_fitted_on_every_training_document(spark, tmp_path, monkeypatch):
+    rows = [(i, f"word{i} and more words") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, fit = [], rnnlm.fit
+
+    def watched(symbols, p, end, tokens, **how):
+        seen.append((symbols.count(), tokens))
+        return fit(symbols, p, end, tokens, **how)
+
+    monkeypatch.setattr(rnnlm, "fit", watched)
+    rnnlm.op7_recurrent_lm(spark, str(tmp_path)).collect()
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    assert seen == [(len(train), sum(len(t.split()) + 1 for t in train))]

@@ -191,6 +191,16 @@ def test_fertility_rejects_noise_and_keeps_prose():
     assert m["entropy"][0] == pytest.approx(-(p * np.log2(p)).sum())
 
 
+def test_entropy_is_held_to_what_the_length_leads_to_expect():
+    words = "the of and to in is that for it was on are with they be at one have this from by word but what some we can out other were all your when up use how said an each she".split()
+    text = " ".join(np.random.default_rng(8).choice(words, 1500))
+    m = fertility.measure(pa.array([text]), fertility.vocabulary_path())
+    assert m["entropy"][0] > 5 and fertility.in_band(m, ["en"]).tolist() == [False]
+    same = {"n_tokens": np.array([10, 64, 4096]), "entropy": np.array([3.0, 5.5, 5.5]), "chars_per_token": np.full(3, 4.0), "byte_share": np.zeros(3), "script": np.zeros(3, int)}
+    for lang in ("en", "de", "fr", "es", None):
+        assert fertility.in_band(same, [lang] * 3).tolist() == [True, True, False]
+
+
 def test_gradients_point_downhill():
     rng = np.random.default_rng(5)
     docs = [np.tile(rng.integers(0, 40, 12), 20).astype(np.int32) for _ in range(40)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestor.functions import scope
+from attestor.functions import scope, text
 from attestor.plans.ontology import EVENTS, SINGLE_VALUED, listed  # noqa: F401
 
 SLOT = ["entity_id", "predicate", "item"]
@@ -77,6 +77,35 @@ def infer_mapping(claims: DataFrame, map_predicates=("normal_operating_pressure"
     return keys.join(per, on).select("claim_id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("target"), (F.col("low") != F.col("high")).alias("ambiguous"))
 
 
+#: How a displayed tag may have been resolved. Fixed values.
+RESOLVED = ["exact", "normalized", "register", "glossary", "doc_stated"]
+
+
+def infer_tags(claims: DataFrame, keyed_aliases: DataFrame) -> DataFrame:
+    """Displayed tags that a name resolves (R-TAG-RESOLVE): (claim_id, entity_id, predicate, value_id, resolution, assertion_kind).
+
+    keyed_aliases is what mentions.keyed gives. The status is that of the surface seen: the entity's own name, exact or
+    normalized, else the tier of the alias.
+    """
+    tags = visible(claims).filter("predicate = 'displays_tag' AND NOT needs_review").select("claim_id", "entity_id", "v_text", F.expr(text.norm_key("v_text")).alias("norm_key"))
+    first = keyed_aliases.filter("status <> 'rejected'").groupBy("norm_key").agg(F.min_by(F.struct(F.col("entity_id").alias("value_id"), F.col("status").alias("tier")), F.struct("entity_id", "status")).alias("a"))
+    name = "substring_index(value_id, ':', -1)"
+    status = f"CASE WHEN trim(v_text) = {name} THEN 'exact' WHEN norm_key = {text.norm_key(name)} THEN 'normalized' ELSE tier END"
+    found = tags.join(first.select("norm_key", "a.*"), "norm_key").withColumn("resolution", F.expr(status)).filter(F.col("resolution").isin(*RESOLVED))
+    return found.select("claim_id", "entity_id", F.lit("matches_entity").alias("predicate"), "value_id", "resolution", F.lit("structural").alias("assertion_kind"))
+
+
+def infer_distinct(claims: DataFrame) -> DataFrame:
+    """Stated supersessions whose two components no visible claim calls distinct yet (R-SUPERSEDED-DISTINCT): a row for each, the new
+    component its subject. (claim_id, entity_id, predicate, value_id, assertion_kind)."""
+    pair = [F.least("entity_id", "value_id").alias("one"), F.greatest("entity_id", "value_id").alias("two")]
+    v = visible(claims).filter("value_id IS NOT NULL")
+    known = v.filter("predicate = 'is_distinct_from'").select(*pair)
+    stated = v.filter("predicate = 'superseded_by' AND NOT needs_review AND assertion_kind = 'stated'").select("*", *pair)
+    new = stated.join(known, ["one", "two"], "left_anti")
+    return new.select("claim_id", F.col("value_id").alias("entity_id"), F.lit("is_distinct_from").alias("predicate"), F.col("entity_id").alias("value_id"), F.lit("inferred").alias("assertion_kind"))
+
+
 def dual_agreement(one: DataFrame, other: DataFrame) -> DataFrame:
     """The second reader's claims against the first's: disagree, agree or unconfirmed (difference wins)."""
     pick = [x for x in SIDE if x != "doc_id"]

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions import quantity, text
+from attestor.operators import mentions
 from attestor.operators.cues import cue_array
 from attestor.plans.ontology import listed, predicate_table
 
 ACTION = ["requires_state", "reset_pressure_limit", "alarm_required_action", "prohibited_action", "installation_restriction"]
 COMPARED = ["alarm_trigger_condition", "reset_pressure_limit", "alarm_required_action"]
 UNCHECKED = ["release_status", "common_name"]
+#: Predicates whose subject the evidence must name; that of others is implied by context.
+SELF_DESCRIBING = [
+    "located_at", "last_calibrated", "performed_by", "signal_type", "calibration_reference", "supply_voltage", "lifecycle_status", "introduced_by", "is_distinct_from", "superseded_by", "supported_on",
+    "installation_restriction", "corresponds_to", "requires_software_revision",
+]
+#: The first cell of a row's text ("header: value | ..."), its key.
+ROW_KEY = r"^[^:|]+: ([^|]+) \\|"
 #: What a state may be called in a quote; other states by their own name. Fixed values.
 STATE_WORDS = {"OPEN": ["open"], "RESET": ["reset"], "INSTALLED": ["installed", "removed", "closed"], "within normal band": ["normal band", "normal", "sight glass band"]}
 #: Comparators in words. Fixed values.
@@ -69,17 +77,38 @@ def dimension_of_unit(u: str) -> str:
     return f"CASE {u} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in own.items()) + " END"
 
 
-def validate(claims: DataFrame) -> DataFrame:
-    """claims with v1..v5, raster and the new lifecycle; only PROPOSED claims change."""
+def subject_named(claims: DataFrame, surfaces: dict[str, str]) -> DataFrame:
+    """claims with v2b: the row key where it names an entity, else the quote's mentions of the subject's kind, else those of a raster region.
+
+    surfaces is a register of names (a dimension, read once); its keys are also what row keys are looked up by.
+    """
+    keys = claims.sparkSession.createDataFrame(sorted({mentions.re.sub("[^A-Z0-9]", "", s.upper()): e for s, e in surfaces.items()}.items()), "row_norm string, row_entity string")
+    c = mentions.find_mentions(claims, "quote", surfaces).withColumnRenamed("mentions", "in_quote")
+    c = mentions.find_mentions(c.withColumn("region", F.expr("IF(raster IN ('agree', 'disagree'), element_text, NULL)")), "region", surfaces).withColumnRenamed("mentions", "in_region")
+    c = c.withColumn("row_norm", F.expr(text.norm_key(f"regexp_extract(element_text, '{ROW_KEY}', 1)"))).join(F.broadcast(keys), "row_norm", "left")
+    own = lambda m: f"filter(transform({m}, m -> m.entity_id), e -> split(e, ':')[0] = split(entity_id, ':')[0])"
+    c = c.withColumns({"in_quote": F.expr(own("in_quote")), "in_region": F.expr(own("in_region"))})
+    layer = f"""CASE WHEN predicate NOT IN ({listed(SELF_DESCRIBING)}) OR assertion_kind <> 'stated' THEN 'SKIP'
+        WHEN row_entity IS NOT NULL THEN IF(row_entity = entity_id, 'PASS', 'FAIL')
+        WHEN size(in_quote) > 0 THEN IF(array_contains(in_quote, entity_id), 'PASS', 'FAIL')
+        WHEN size(in_region) > 0 THEN IF(array_contains(in_region, entity_id), 'PASS', 'FAIL') ELSE 'PASS' END"""
+    return c.withColumn("v2b", F.expr(layer)).drop("in_quote", "in_region", "region", "row_norm", "row_entity")
+
+
+def validate(claims: DataFrame, surfaces: dict[str, str] | None = None) -> DataFrame:
+    """claims with v1..v5, raster and the new lifecycle; only PROPOSED claims change. With a register of names also v2b, its subject's layer."""
+    if surfaces:
+        claims = subject_named(claims, surfaces)
     c = claims.withColumn("cues", cue_array(F.expr(text.strip_parens("quote"))))
     ontology = F.broadcast(predicate_table(claims.sparkSession))  # a row for each predicate of the closed world
     c = c.join(ontology, "predicate", "left")
     c = c.withColumns({"v1": F.expr(quote_exists()), "v2": F.expr(value_supported()), "v3": F.expr(scope_faithful()), "v4": F.expr(condition_faithful()), "v5": F.expr(types_allowed())})
     c = c.withColumn("v_raster", F.expr("CASE raster WHEN 'disagree' THEN 'VETO' WHEN 'agree' THEN 'PASS' ELSE 'SKIP' END"))
-    new = "CASE WHEN lifecycle <> 'PROPOSED' THEN lifecycle WHEN array_contains(array(v1, v2, v3, v4, v5), 'FAIL') THEN 'REJECTED' WHEN v_raster = 'VETO' THEN 'DEMOTED' ELSE 'ADMITTED' END"
-    return c.withColumn("lifecycle", F.expr(new)).drop("kinds", "vtypes", "dim", "cues")
+    new = "CASE WHEN lifecycle <> 'PROPOSED' THEN lifecycle WHEN array_contains(array(v1, v2, {v2b}v3, v4, v5), 'FAIL') THEN 'REJECTED' WHEN v_raster = 'VETO' THEN 'DEMOTED' ELSE 'ADMITTED' END"
+    return c.withColumn("lifecycle", F.expr(new.format(v2b="v2b, " if surfaces else ""))).drop("kinds", "vtypes", "dim", "cues")
 
 
 def audit(validated: DataFrame) -> DataFrame:
     """(claim_id, stage, result): a row for each layer."""
-    return validated.selectExpr("claim_id", "stack(6, 'V1', v1, 'V2', v2, 'V3', v3, 'V4', v4, 'V5', v5, 'RASTER', v_raster) AS (stage, result)")
+    n, v2b = (7, "'V2b', v2b, ") if "v2b" in validated.columns else (6, "")
+    return validated.selectExpr("claim_id", f"stack({n}, 'V1', v1, 'V2', v2, {v2b}'V3', v3, 'V4', v4, 'V5', v5, 'RASTER', v_raster) AS (stage, result)")

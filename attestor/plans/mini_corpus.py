@@ -70,7 +70,7 @@ def elements(spark: SparkSession, contradiction: bool = False, instruction: bool
 def corpus_claims(spark: SparkSession, **mutations) -> DataFrame:
     register = {mentions.re.sub("[^A-Z0-9]", "", s.upper()): e for e, s in REGISTER}
     proposed = extract(elements(spark, **mutations), register).withColumn("lifecycle", F.lit("PROPOSED")).withColumn("raster", F.lit("n/a"))
-    checked = with_keys(validate(proposed)).withColumn("needs_review", F.col("lifecycle") == "DEMOTED").withColumn("doc_no", F.abs(F.hash("doc_id")))
+    checked = with_keys(validate(proposed, {s: e for e, s in REGISTER})).withColumn("needs_review", F.col("lifecycle") == "DEMOTED").withColumn("doc_no", F.abs(F.hash("doc_id")))
     return stored(checked, "claims")  # questions read the store, not the documents
 
 

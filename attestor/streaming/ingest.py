@@ -10,12 +10,12 @@ from attestor.operators.extract import extract, with_keys
 from attestor.operators.validate import validate
 
 
-def start(elements: DataFrame, register: dict[str, str], store: str, checkpoint: str):
-    """The running query. elements: a stream with the columns of extract()."""
+def start(elements: DataFrame, register: dict[str, str], store: str, checkpoint: str, surfaces: dict[str, str] | None = None):
+    """The running query. elements: a stream with the columns of extract(); surfaces: names for the subject's layer of validate()."""
 
     def put(batch: DataFrame, number: int) -> None:
         proposed = extract(batch, register).withColumn("lifecycle", F.lit("PROPOSED")).withColumn("raster", F.lit("n/a"))
-        with_keys(validate(proposed)).write.mode("overwrite").parquet(f"{store}/claims/batch={number}")
+        with_keys(validate(proposed, surfaces)).write.mode("overwrite").parquet(f"{store}/claims/batch={number}")
 
     return elements.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -7,6 +7,7 @@ import sys
 
 import pytest
 from attestor.functions.workers import prepare
+from attestor.operators import relate
 from attestor.operators.validate import validate
 from attestor.plans import catalogue, mini_corpus
 from attestor.sources import store
@@ -84,6 +85,29 @@ def test_corrupted_claims_are_caught(claims):
         assert got and set(got) == {"REJECTED"}, name
 
 
+def test_a_subject_the_evidence_does_not_name_is_caught(claims):
+    surfaces = {s: e for e, s in mini_corpus.REGISTER}
+    c = claims.filter("predicate = 'superseded_by' AND assertion_kind = 'stated'").withColumn("lifecycle", F.lit("PROPOSED")).drop("v1", "v2", "v2b", "v3", "v4", "v5", "v_raster")
+    judged = lambda df: {(r["v2b"], r["lifecycle"]) for r in validate(df, surfaces).collect()}
+    assert judged(c) == {("PASS", "ADMITTED")}
+    assert judged(c.withColumn("entity_id", F.lit("component:PS-40"))) == {("FAIL", "REJECTED")}
+    region = c.limit(1).withColumns({"quote": F.lit("replaced in 3.2"), "element_text": F.lit("PS-04 replaced in 3.2"), "raster": F.lit("agree")})
+    assert [r["v2b"] for e in ("PS-04", "PS-40") for r in validate(region.withColumn("entity_id", F.lit(f"component:{e}")), surfaces).collect()] == ["PASS", "FAIL"]
+
+
+def test_tags_and_supersessions_infer(spark):
+    cols = "claim_id string, entity_id string, predicate string, value_id string, v_text string, lifecycle string, needs_review boolean, assertion_kind string"
+    rows = [("t1", "screen:S", "displays_tag", None, "PS-04A", "ADMITTED", False, "stated"), ("t2", "screen:S", "displays_tag", None, "ps04a", "ADMITTED", False, "stated"), ("t3", "screen:S", "displays_tag", None, "Main Pump", "ADMITTED", False, "stated"),
+            ("t4", "screen:S", "displays_tag", None, "nothing", "ADMITTED", False, "stated"), ("t5", "screen:S", "displays_tag", None, "PS-04A", "REJECTED", False, "stated"), ("t6", "screen:S", "displays_tag", None, "loose", "ADMITTED", False, "stated"),
+            ("s1", "c:A", "superseded_by", "c:B", None, "ADMITTED", False, "stated"), ("s2", "c:A", "superseded_by", "c:B", None, "ADMITTED", False, "stated"), ("s3", "c:C", "superseded_by", "c:D", None, "ADMITTED", False, "stated"),
+            ("d1", "c:D", "is_distinct_from", "c:C", None, "DEMOTED", True, "stated"), ("d2", "c:A", "is_distinct_from", "c:B", None, "PROPOSED", False, "inferred")]
+    c = spark.createDataFrame(rows, cols)
+    aliases = mini_corpus.mentions.keyed(spark.createDataFrame([("component:PS-04A", "PS-04A", "register"), ("component:P-1", "Main Pump", "glossary"), ("component:P-2", "loose", "guessed")], "entity_id string, surface string, status string"))
+    got = {r["claim_id"]: (r["value_id"], r["resolution"], r["assertion_kind"]) for r in relate.infer_tags(c, aliases).collect()}
+    assert got == {"t1": ("component:PS-04A", "exact", "structural"), "t2": ("component:PS-04A", "normalized", "structural"), "t3": ("component:P-1", "glossary", "structural")}
+    assert sorted((r["claim_id"], r["entity_id"], r["value_id"]) for r in relate.infer_distinct(c).collect()) == [("s1", "c:B", "c:A"), ("s2", "c:B", "c:A")]
+
+
 def test_store_round_trip(spark, claims, tmp_path):
     store.save({"claims": claims.drop("v1", "v2", "v3", "v4", "v5")}, str(tmp_path))
     back = store.load(spark, str(tmp_path))

@@ -208,23 +208,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs with one document of each group: that with the least id. Needs doc_id and text; returns docs' columns."""
     prints, classes = near_duplicates(docs, **how)
-    kept = classes.filter(F.col("rep") == F.col("component_id")).select(F.col("rep").alias("kept_id"))
-    out = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    kept = classes.filter(F.col("rep") == F.col("component_id")).groupBy("root").agg(F.min("fp").alias("kept_fp"), F.min("rep").alias("kept_id"))
+    out = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    again = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select(F.col("doc_id").alias("again"))
+    if again.limit(1).count():  # an id with several texts does not tell which row stands for the group: the fingerprint does
+        shared = docs.join(again, docs["doc_id"] == again["again"], "left_semi")
+        fps = shared.select("text").distinct().mapInArrow(_text_prints(how.get("shingle", SHINGLE)), "text string, fp long").select(F.col("text").alias("_text"), F.col("fp").alias("_fp"))
+        rows = shared.join(fps, shared["text"].eqNullSafe(fps["_text"])).join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("_fp") == F.col("kept_fp")), "left_semi")
+        out = out.join(again, out["doc_id"] == again["again"], "left_anti").dropDuplicates(["doc_id"]).unionByName(rows.dropDuplicates(["doc_id", "_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    else:
+        out = out.dropDuplicates(["doc_id"])
     nameless = classes.filter("component_id is null").select("fp", "root")
     bare = docs.filter(F.col("doc_id").isNull())
     if bare.limit(1).count():  # groups without any id keep the first text
         kept_text = prints.filter("doc_id is null").join(nameless, "fp").select("root").distinct()
         if kept_text.limit(1).count():
-            fps = bare.select("text").distinct().mapInArrow(_text_prints, "text string, fp long").join(nameless, "fp").groupBy("root").agg(F.min("text").alias("kept"))
+            fps = bare.select("text").distinct().mapInArrow(_text_prints(how.get("shingle", SHINGLE)), "text string, fp long").join(nameless, "fp").groupBy("root").agg(F.min("text").alias("kept"))
             out = out.unionByName(bare.join(fps.select("kept"), F.coalesce(bare["text"], F.lit("")) == F.coalesce("kept", F.lit("")), "left_semi").dropDuplicates(["text"]))
     return out
 
 
-def _text_prints(batches):
-    for t in batches_by_bytes(batches, "text"):
-        texts = array_of(t, "text")
-        fp = np.frombuffer(b"".join(fingerprint(x) for x in texts.cast(pa.large_binary()).to_pylist()), ">i8").astype(np.int64)
-        yield from pa.table({"text": pc.cast(texts, pa.string()), "fp": pa.array(fp)}).to_batches()
+def _text_prints(shingle: int):
+    def run(batches):
+        for t in batches_by_bytes(batches, "text"):
+            texts = array_of(t, "text")
+            fp = np.frombuffer(b"".join(fingerprint(x, shingle) for x in texts.cast(pa.large_binary()).to_pylist()), ">i8").astype(np.int64)
+            yield from pa.table({"text": pc.cast(texts, pa.string()), "fp": pa.array(fp)}).to_batches()
+
+    return run
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -129,6 +129,14 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs.limit(0)).collect() == []
 
 
+def test_one_of_each_keeps_both_texts_of_a_reused_id(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(300)) for k in "ab")
+    docs = spark.createDataFrame([(7, one, "a"), (7, two, "b"), (7, two, "b"), (8, one, "c"), (9, None, "d")], "doc_id long, text string, fp string")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["fp"]) for r in kept.collect()) == [(7, "a"), (7, "b"), (9, "d")]
+
+
 LANGS = {"aa": "zon mir tal vek dor", "bb": "lui sae pei noa rui", "cc": "grrk hjjl zzpt krrn"}
 
 

@@ -121,6 +121,8 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, most: int = DISTANCE) -> tuple[
 
 def links(distinct: DataFrame, most: int = DISTANCE) -> DataFrame:
     """(a, b): fingerprints that hang together, enough to join all that are within the distance. distinct has fp."""
+    if most > len(GROUPS) - 3:  # one more difference, and two groups need not agree
+        raise ValueError(f"the grid is complete for at most {len(GROUPS) - 3} differences, not for {most}")
     spark = distinct.sparkSession
     masks = []
     for i in range(6):

@@ -119,6 +119,13 @@ def test_links_lose_nothing(spark):
     assert len(set(zip(roots, want))) == len(set(roots)) == len(set(want))
 
 
+def test_links_refuse_a_distance_the_grid_would_lose(spark):
+    distinct = spark.createDataFrame([(0,), (31,)], "fp long")
+    with pytest.raises(ValueError):
+        simhash.links(distinct, most=5)
+    assert [tuple(r) for r in simhash.links(distinct.filter("fp = 0"), most=4).collect()] == []
+
+
 def test_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(300))
     rows = [(5, text, "a"), (3, text + " more", "b"), (9, text, "c"), (9, text, "c"), (None, text, "n"), (None, None, "n"), (4, "quite another text, about other things", "d"), (None, "alone without any id but with words", "e")]

@@ -4,10 +4,12 @@ Counts come from the whole corpus: every document is dictionary-encoded once (co
 distinct words of each chunk of documents); the lists are summed to exact counts of all training tokens, and joined back.
 
 The model knows the commonest words, in classes of equal size, and puts every other word into a class by its spelling;
-its output is P(class | state) * P(word | class, state), the second factor being smoothed counts for spelling classes. So
-it gives a proper distribution over all words, unseen ones included. The network is a gated recurrent unit trained by
-truncated backpropagation: replicas train on groups of documents, and their weights are averaged after each round.
-Scoring carries the state through windows of a whole document and resets it at the next; no text is cut.
+its output is P(class | state) * P(symbol | class, state) over symbols in classes of equal size, known words and spellings
+alike; a word outside the known ones has its spelling's probability times its smoothed count among all words so spelt, and
+each word not seen in training gets the whole reserve of its spelling. The network is a gated recurrent unit trained by
+truncated backpropagation on all training documents: replicas train on groups of documents, chosen and ordered by a hash of
+id and content, and their weights are averaged after each round. Scoring carries the state through a whole document and
+resets it at the next; no text is cut.
 
 Defined results: null and empty texts are the end token alone; a null id counts as the text '' for the split; without
 training documents the base is log10(0.1 / 0.1) = 0 for every token and so is the score; repeated rows are scored each.
@@ -21,16 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.common import array_of, batches_by_bytes, id_text, release, split_words, table, work_dir, written
-from attestor.llm.langid import segment_sum
 
 END = "\n"  # no word holds a line feed
-#: Words the network knows one by one, END included; classes of them; spelling classes for all other words.
-HEAD, HEAD_CLASSES, SPELLINGS = 1024, 32, 96
-PER = HEAD // HEAD_CLASSES
-CLASSES, SYMBOLS = HEAD_CLASSES + SPELLINGS, HEAD + SPELLINGS
-HIDDEN, WINDOW, LANES = 32, 16, 64
-#: Share of the training documents, chosen by hash, that the network is fitted on: all of them, as for the counts.
-TRAIN_SHARE = 1.0
+#: Words the network knows one by one, END included; spellings for all other words; symbols of a class.
+HEAD, SPELLINGS, PER = 1024, 96, 32
+SYMBOLS, CLASSES = HEAD + SPELLINGS, (HEAD + SPELLINGS) // PER
+HIDDEN, WINDOW, LANES = 32, 16, 128
 #: Tokens a replica sees in all its rounds, aimed at; replicas grow with the corpus.
 REPLICA_TOKENS, ROUNDS, RATE = 8_000_000, 3, 4e-3
 ALPHA = 0.1
@@ -83,16 +81,15 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 # ---- the network
 
 
-def start(head_counts: np.ndarray, spelling_counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights that give the unigram distribution whatever the state."""
+def start(counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
+    """Weights that give the symbols' unigram distribution whatever the state."""
     rng = np.random.default_rng(seed)
     h = HIDDEN
-    per_class = head_counts.reshape(HEAD_CLASSES, PER)
-    of_class = np.concatenate([per_class.sum(1), spelling_counts]) + 1.0
+    per = counts.reshape(CLASSES, PER) + ALPHA
     return {k: v.astype(np.float32) for k, v in {
         "x": rng.normal(0, 0.3, (SYMBOLS, 3 * h)), "u": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
-        "c": np.zeros((h, CLASSES)), "cb": np.log(of_class / of_class.sum()),
-        "w": np.zeros((HEAD_CLASSES, h, PER)), "wb": np.log((per_class + ALPHA) / (per_class + ALPHA).sum(1, keepdims=True)),
+        "c": np.zeros((h, CLASSES)), "cb": np.log(per.sum(1) / per.sum()),
+        "w": np.zeros((CLASSES, h, PER)), "wb": np.log(per / per.sum(1, keepdims=True)),
     }.items()}
 
 
@@ -115,33 +112,55 @@ def step(p: dict, h: np.ndarray, x: np.ndarray):
     return new, (z, r, c, ac)
 
 
-def class_of(y: np.ndarray) -> np.ndarray:
-    return np.where(y < HEAD, y // PER, y - HEAD + HEAD_CLASSES)
+def _shifted_exp(s: np.ndarray, most: float) -> np.ndarray:
+    """exp of logits in place; the largest of each row is taken off only where their bound could overflow."""
+    if most > 60:
+        s -= s.max(1, keepdims=True)
+    return np.exp(s, out=s)
+
+
+def _bound(w: np.ndarray, b: np.ndarray) -> float:
+    """No logit h @ w + b is further from 0, as no component of a state exceeds 1."""
+    return float((np.abs(w).sum(-2) + np.abs(b)).max())
+
+
+def by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of symbols' classes, and where each class begins in it."""
+    k = np.minimum(y // PER, CLASSES).astype(np.uint8)
+    return np.argsort(k, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(k, minlength=CLASSES)[:CLASSES])])
+
+
+def word_logits(p: dict, h: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Logits of the symbols of each row's class; rows in order of class."""
+    s = np.empty((len(h), PER), np.float32)
+    for q in np.flatnonzero(edge[1:] > edge[:-1]):
+        i = slice(edge[q], edge[q + 1])
+        np.add(h[i] @ p["w"][q], p["wb"][q], out=s[i])
+    return s
 
 
 def log_probs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | h) and, for words of the head, of P(word | class, h)."""
-    k = class_of(y)
-    s = h @ p["c"]
-    s += p["cb"]
-    s -= s.max(1, keepdims=True)
-    out = s[np.arange(len(y)), k].astype(np.float64)
-    np.exp(s, out=s)
-    out -= np.log(s.sum(1))
-    rows = np.flatnonzero(y < HEAD)
-    rows = rows[np.argsort(k[rows], kind="stable")]
-    edge = np.searchsorted(k[rows], np.arange(HEAD_CLASSES + 1))
-    for q in range(HEAD_CLASSES):
-        i = rows[edge[q] : edge[q + 1]]
-        if len(i):
-            s = h[i] @ p["w"][q] + p["wb"][q]
-            s -= s.max(1, keepdims=True)
-            out[i] += s[np.arange(len(i)), y[i] - q * PER] - np.log(np.exp(s).sum(1))
+    """Natural log of P(class | h) P(symbol | class, h)."""
+    rows, edge = by_class(y)
+    h, y, i = h[rows], y[rows], np.arange(len(y))
+    s = _shifted_exp(h @ p["c"] + p["cb"], _bound(p["c"], p["cb"]))
+    found = s[i, y // PER] / s.sum(1)
+    s = _shifted_exp(word_logits(p, h, edge), _bound(p["w"], p["wb"]))
+    found *= s[i, y % PER]
+    found /= s.sum(1)
+    out = np.empty(len(y))
+    out[rows] = np.log(found)
     return out
 
 
-def streams(docs: list[np.ndarray], lanes: int):
-    """Documents dealt to lanes, longest first to the shortest lane: (symbols padded with -1, document of each, starts), lanes longest first."""
+PAD = 0xFFFF
+
+
+def streams(docs: list[np.ndarray], lanes: int, seed: int | None = None):
+    """Documents dealt to lanes, longest first to the shortest lane: (symbols padded with PAD, starts, documents of each lane), lanes longest first.
+
+    With a seed, the documents of a lane come in random order.
+    """
     import heapq
 
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
@@ -152,15 +171,17 @@ def streams(docs: list[np.ndarray], lanes: int):
         dealt[lane].append(i)
         heapq.heappush(heap, (size + len(docs[i]), lane))
     dealt.sort(key=lambda d: -sum(len(docs[i]) for i in d))
+    if seed is not None:
+        rng = np.random.default_rng(seed)
+        dealt = [[d[i] for i in rng.permutation(len(d))] for d in dealt]
     length = max((sum(len(docs[i]) for i in d) for d in dealt), default=0)
-    y, owner = np.full((length, len(dealt)), -1, np.int32), np.full((length, len(dealt)), -1, np.int32)
-    first = np.zeros((length, len(dealt)), bool)
+    y, first = np.full((length, len(dealt)), PAD, np.uint16), np.zeros((length, len(dealt)), bool)
     for lane, d in enumerate(dealt):
         at = 0
         for i in d:
-            y[at : at + len(docs[i]), lane], owner[at : at + len(docs[i]), lane], first[at, lane] = docs[i], i, True
+            y[at : at + len(docs[i]), lane], first[at, lane] = docs[i], True
             at += len(docs[i])
-    return y, owner, first
+    return y, first, dealt
 
 
 def inputs(y: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
@@ -177,26 +198,28 @@ def score(p: dict, docs: list[np.ndarray], end: int) -> np.ndarray:
     if not docs:
         return total
     size, longest = sum(map(len, docs)), max(map(len, docs))
-    y, owner, first = streams(docs, int(np.clip(1.1 * size / max(longest, 1), 16, 1024)))
-    x = inputs(y, first, end)
-    live = (y >= 0).sum(1)
+    y, first, dealt = streams(docs, int(np.clip(1.1 * size / max(longest, 1), 16, 1024)))
+    x, lives, fresh = inputs(y, first, end), (y != PAD).sum(1), first.any(1)
     h = np.zeros((y.shape[1], HIDDEN), np.float32)
-    for at in range(0, len(y), 64):
-        to = min(len(y), at + 64)
-        states, targets, owners, held = [], [], [], 0
-        for t in range(at, to):
-            n = live[t]
-            h = h[:n]
-            if first[t, :n].any():
-                h = np.where(first[t, :n, None], np.float32(0), h)
-            h, _ = step(p, h, x[t, :n])
-            states.append(h)
-            targets.append(y[t, :n])
-            owners.append(owner[t, :n])
-            held += n
-            if held >= 1 << 14 or t == to - 1:
-                total += np.bincount(np.concatenate(owners), weights=log_probs(p, np.concatenate(states), np.concatenate(targets)), minlength=len(docs))
-                states, targets, owners, held = [], [], [], 0
+    whose = [iter(d) for d in dealt]
+    now = np.zeros(y.shape[1], np.int64)
+    states, targets, owners, held = [], [], [], 0
+    for t in range(len(y)):
+        n = lives[t]
+        h = h[:n]
+        if fresh[t]:
+            h = np.where(first[t, :n, None], np.float32(0), h)
+            now = now.copy()
+            for lane in np.flatnonzero(first[t]).tolist():
+                now[lane] = next(whose[lane])
+        h, _ = step(p, h, x[t, :n])
+        states.append(h)
+        targets.append(y[t, :n])
+        owners.append(now[:n])
+        held += n
+        if held >= 1 << 13 or t == len(y) - 1:
+            total += np.bincount(np.concatenate(owners), weights=log_probs(p, np.concatenate(states), np.concatenate(targets)), minlength=len(docs))
+            states, targets, owners, held = [], [], [], 0
     return total
 
 
@@ -206,65 +229,66 @@ def train(p: dict, docs: list[np.ndarray], end: int, rate: float = RATE) -> dict
     if not docs:
         return p
     m, v, count = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    y, _, first = streams(docs, LANES)
+    y, first, _ = streams(docs, LANES, seed=len(docs))
     x = inputs(y, first, end)
-    h, n = np.zeros((y.shape[1], HIDDEN), np.float32), HIDDEN
-    steps = -(-len(y) // WINDOW)
+    n, width = HIDDEN, y.shape[1]
+    steps, lives = -(-len(y) // WINDOW), (y != PAD).sum(1)
+    x[x == PAD] = end
+    h = np.zeros((width, n), np.float32)
     for at in range(0, len(y), WINDOW):
-        to = min(len(y), at + WINDOW)
-        live = int((y[at] >= 0).sum())
-        h, saved, states = h[:live], [], []
-        for t in range(at, to):
-            h = np.where(first[t, :live, None], np.float32(0), h)
-            new, own = step(p, h, np.maximum(x[t, :live], 0))
-            saved.append((h, own))
-            states.append(new)
-            h = new
-        flat, goal = np.concatenate(states), y[at:to, :live].ravel()
-        ok = np.flatnonzero(goal >= 0)
-        g = {k: np.zeros_like(p[k]) for k in ("u", "c", "cb", "w", "wb")}
-        yo, ho, k = goal[ok], flat[ok], class_of(goal[ok])
-        s = ho @ p["c"] + p["cb"]
-        s = np.exp(s - s.max(1, keepdims=True))
-        s /= s.sum(1, keepdims=True)
-        s[np.arange(len(ok)), k] -= 1
-        s /= len(ok)
-        g["c"], g["cb"] = ho.T @ s, s.sum(0)
-        dh_out = s @ p["c"].T
-        rows = np.flatnonzero(yo < HEAD)
-        rows = rows[np.argsort(k[rows], kind="stable")]
-        edge = np.searchsorted(k[rows], np.arange(HEAD_CLASSES + 1))
-        for q in range(HEAD_CLASSES):
-            i = rows[edge[q] : edge[q + 1]]
-            if len(i):
-                s = ho[i] @ p["w"][q] + p["wb"][q]
-                s = np.exp(s - s.max(1, keepdims=True))
-                s /= s.sum(1, keepdims=True)
-                s[np.arange(len(i)), yo[i] - q * PER] -= 1
-                s /= len(ok)
-                g["w"][q], g["wb"][q] = ho[i].T @ s, s.sum(0)
-                dh_out[i] += s @ p["w"][q].T
+        span, live = min(WINDOW, len(y) - at), int(lives[at])
+        begins = first[at : at + span, :live]
+        fresh = begins.any(1)
+        befores, states = np.empty((span, live, n), np.float32), np.empty((span, live, n), np.float32)
+        saved, h = [], h[:live]
+        for t in range(span):
+            if fresh[t]:
+                h = np.where(begins[t, :, None], np.float32(0), h)
+            befores[t] = h
+            h, own = step(p, h, x[at + t, :live])
+            states[t] = h
+            saved.append(own)
+        goal = y[at : at + span, :live].ravel()
+        rows, edge = by_class(goal)
+        rows = rows[: edge[CLASSES]]  # what fills the lanes comes last
+        yo, ho, share, i = goal[rows], states.reshape(-1, n)[rows], np.float32(1 / len(rows)), np.arange(len(rows))
+        s = _shifted_exp(ho @ p["c"] + p["cb"], _bound(p["c"], p["cb"]))
+        s *= share / s.sum(1, keepdims=True)
+        s[i, yo // PER] -= share
+        g = {"c": ho.T @ s, "cb": s.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+        out = s @ p["c"].T
+        s = _shifted_exp(word_logits(p, ho, edge), _bound(p["w"], p["wb"]))
+        s *= share / s.sum(1, keepdims=True)
+        s[i, yo % PER] -= share
+        for q in np.flatnonzero(edge[1:] > edge[:-1]):
+            of = slice(edge[q], edge[q + 1])
+            g["w"][q], g["wb"][q] = ho[of].T @ s[of], s[of].sum(0)
+            out[of] += s[of] @ p["w"][q].T
         back = np.zeros((len(goal), n), np.float32)
-        back[ok] = dh_out
-        back = back.reshape(to - at, live, n)
-        dh, dx = np.zeros((live, n), np.float32), np.empty((to - at, live, 3 * n), np.float32)
-        for j in range(to - at - 1, -1, -1):
-            before, (z, r, c, ac) = saved[j]
-            dh = dh + back[j]
-            dc = dh * (1 - z) * (1 - c * c)
-            dg = dx[j]
-            dg[:, :n] = dh * (before - c) * z * (1 - z)
-            dg[:, n : 2 * n] = dc * ac * r * (1 - r)
+        back[rows] = out
+        back = back.reshape(span, live, n)
+        dh, dx, da = np.zeros((live, n), np.float32), np.empty((span, live, 3 * n), np.float32), np.empty((span, live, 3 * n), np.float32)
+        for t in range(span - 1, -1, -1):
+            z, r, c, ac = saved[t]
+            dh += back[t]
+            dc = dh * (1 - z)
+            dc *= 1 - c * c
+            dg = dx[t]
+            np.multiply(dh, (befores[t] - c) * (z * (1 - z)), out=dg[:, :n])
+            np.multiply(dc, ac * (r * (1 - r)), out=dg[:, n : 2 * n])
             dg[:, 2 * n :] = dc
-            da = dg.copy()
-            da[:, 2 * n :] *= r
-            g["u"] += before.T @ da
-            dh = (dh * z + da @ p["u"].T) * ~first[at + j, :live, None]
-        sym = np.maximum(x[at:to, :live], 0).ravel()
-        used, place = np.unique(sym, return_inverse=True)
-        gx = np.zeros((len(used), 3 * n), np.float32)
-        order = np.argsort(place, kind="stable")
-        gx += np.add.reduceat(dx.reshape(-1, 3 * n)[order], np.searchsorted(place[order], np.arange(len(used))), axis=0)
+            da[t, :, : 2 * n] = dg[:, : 2 * n]
+            np.multiply(dc, r, out=da[t, :, 2 * n :])
+            dh *= z
+            dh += da[t] @ p["u"].T
+            if fresh[t]:
+                dh *= ~begins[t, :, None]
+        g["u"] = befores.reshape(-1, n).T @ da.reshape(-1, 3 * n)
+        sym = x[at : at + span, :live].ravel()
+        order = np.argsort(sym, kind="stable")
+        own = sym[order]
+        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        used, gx = own[edges], np.add.reduceat(dx.reshape(-1, 3 * n)[order], edges, axis=0)
         count += 1
         lr = rate * (1 - 0.9 * (at / WINDOW) / steps)
         fix1, fix2 = 1 - 0.9**count, 1 - 0.99**count
@@ -292,13 +316,11 @@ def unpack_weights(data: bytes, like: dict) -> dict:
 
 def _replica(shared, end: int, rate: float):
     def run(t: pa.Table) -> pa.Table:
-        weights, part, got, size = shared.value, [], 0, 0
-        for b in t.column("ids").to_pylist():  # bounded memory: lanes are filled with half a million tokens at a time
-            part.append(np.frombuffer(b, "<u2").astype(np.int32))
-            got += len(part[-1])
-            if got >= 1 << 19:
-                weights, part, got, size = train(weights, part, end, rate), [], 0, size + got
-        weights, size = train(weights, part, end, rate), size + got
+        order = np.argsort(np.asarray(t.column("h")), kind="stable")  # the same order however rows arrive
+        ids = t.column("ids").to_pylist()
+        parts = [np.frombuffer(ids[i], "<u2") for i in order.tolist()]
+        size, weights = sum(map(len, parts)), train(shared.value, parts, end, rate)
+        release()
         scaled = {key: a * np.float32(size) for key, a in weights.items()}
         return pa.table({"g": t.column("g").slice(0, 1), "size": pa.array([size], pa.int64()), "weights": pa.array([pack_weights(scaled)], pa.binary())})
 
@@ -321,7 +343,7 @@ def fit(symbols: DataFrame, p: dict, end: int, tokens: int, replica_tokens: int
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(p)
 
-        own = placed.filter(F.col("round") == k).select("g", "ids").groupBy("g").applyInArrow(_replica(shared, end, RATE / (1 + k)), "g int, size long, weights binary")
+        own = placed.filter(F.col("round") == k).select("g", "h", "ids").groupBy("g").applyInArrow(_replica(shared, end, RATE / (1 + k)), "g int, size long, weights binary")
         sums = own.groupBy((F.col("g") % SUMMERS).alias("s")).applyInArrow(_add, "size long, weights binary").collect()
         if sums:
             total, size = sum(np.frombuffer(bytes(r["weights"]), "<f4").astype(np.float64) for r in sums), sum(r["size"] for r in sums)
@@ -329,7 +351,7 @@ def fit(symbols: DataFrame, p: dict, end: int, tokens: int, replica_tokens: int
     return p
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_share: float = TRAIN_SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", replica_tokens: int = REPLICA_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of whole texts."""
     spark = docs.sparkSession
     at = work_dir(spark)
@@ -346,7 +368,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     top = sorted([*top, (END, int(ends))], key=lambda r: (-r[1], r[0]))
     head = {w: i for i, (w, _) in enumerate(top)}
     end = head[END]
-    counts = np.array([c for _, c in top] + [0] * (HEAD - len(top)), np.float64)
+    counts = np.zeros(SYMBOLS)
+    counts[: len(top)] = [c for _, c in top]
     heads = spark.createDataFrame([(w, i) for w, i in head.items()], "token string, id int")
     marked = vocabulary.join(F.broadcast(heads), "token", "left")
     per = np.zeros((SPELLINGS, 2))
@@ -357,50 +380,44 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     base_log = lambda c: np.log10((c + ALPHA) / (n + ALPHA * (v + 1)))
 
-    def chunk_of(t: pa.Table, w: pa.Table):
-        """The chunk's (counts, symbols) by code, the end last, and codes of its documents."""
+    def symbols_of(t: pa.Table, w: pa.Table) -> pa.Table:
+        """A chunk's documents in the corpus's own symbols, with all that counts alone tell of them."""
         import zstandard
 
         code = np.asarray(w.column("code"))
         c, s = np.zeros(len(code), np.int64), np.zeros(len(code), np.int32)
         c[code], s[code] = np.asarray(w.column("c")), np.asarray(w.column("id"))
-        undo = zstandard.ZstdDecompressor()
-        last = np.array([len(code) - 1], "<u4")
-        return c, s, [np.concatenate([np.frombuffer(undo.decompress(b), "<u4"), last]) for b in t.column("codes").to_pylist()]
-
-    sampled = texts.filter(~F.col("held_out")).withColumn("h", F.xxhash64("doc_id", "codes"))
-    if train_share < 1:
-        sampled = sampled.filter(F.pmod(F.col("h"), F.lit(1 << 20)) < int(train_share * (1 << 20)))
-
-    def symbols_of(t: pa.Table, w: pa.Table) -> pa.Table:
-        _, s, codes = chunk_of(t, w)
-        s = s.astype("<u2")
-        release()
-        return pa.table({"h": t.column("h"), "ids": pa.array([s[x].tobytes() for x in codes], pa.binary())})
-
-    symbols = sampled.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(symbols_of, "h long, ids binary")
-    weights = start(counts, per[:, 0])
-    if n:
-        symbols = written(symbols, f"{at}/symbols")
-        weights = fit(symbols, weights, end, int(n * train_share))
-    shared = spark.sparkContext.broadcast({"p": weights, "per": per})
-
-    def score_chunk(t: pa.Table, w: pa.Table) -> pa.Table:
-        c, s, codes = chunk_of(t, w)
-        per_class = shared.value["per"][np.maximum(s - HEAD, 0)]
+        per_class = per[np.maximum(s - HEAD, 0)]
         inside = np.where(s < HEAD, 0.0, np.log10((c + ALPHA) / (per_class[:, 0] + ALPHA * (per_class[:, 1] + 1))))
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in codes])])
-        base, tail = segment_sum(base_log(c)[flat], offsets), segment_sum(inside[flat], offsets)
-        known_ = segment_sum((c > 0).astype(np.int64)[flat], offsets)
-        del flat
-        found = score(shared.value["p"], [s[x] for x in codes], end) / np.log(10) + tail
-        if not n:
-            found = np.zeros(len(codes))
+        base, known_, s = base_log(c), (c > 0).astype(np.int64), s.astype("<u2")
+        undo, last = zstandard.ZstdDecompressor(), np.array([len(code) - 1], "<u4")
+        rows = []
+        for packed in t.column("codes").to_pylist():
+            own = np.concatenate([np.frombuffer(undo.decompress(packed), "<u4"), last])
+            rows.append((len(own), int(known_[own].sum()), float(base[own].sum()), float(inside[own].sum()), s[own].tobytes()))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+        made = [pa.array(list(x), kind) for x, kind in zip(zip(*rows) if rows else [()] * 5, kinds)]
         release()
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(np.diff(offsets), pa.int64()), "n_known": pa.array(known_, pa.int64()), "train_tokens": pa.array([n] * len(codes), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(found, pa.float64())})
+        return pa.table([t.column("doc_id"), t.column("held_out"), *made], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "inside", "ids"])
 
-    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score_chunk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    own = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, ids binary"
+    symbols = written(texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(symbols_of, own), f"{at}/symbols")
+    counts[HEAD:] = per[:, 0]
+    weights = start(counts)
+    if n:
+        training = symbols.filter(~F.col("held_out")).select(F.xxhash64("doc_id", "ids").alias("h"), "ids")
+        weights = fit(training, weights, end, n, replica_tokens=replica_tokens)
+    shared = spark.sparkContext.broadcast(weights)
+
+    def score_rows(batches):
+        for t in batches_by_bytes(batches, "ids", 6 << 20):
+            ids = [np.frombuffer(b, "<u2") for b in t.column("ids").to_pylist()]
+            found = (score(shared.value, ids, end) / np.log(10) + np.asarray(t.column("inside"))) if n else np.zeros(len(ids))
+            release()
+            out = t.select(["doc_id", "held_out", "n_tokens", "n_known"]).append_column("train_tokens", pa.array([n] * len(ids), pa.int64()))
+            yield from out.append_column("base_score", t.column("base_score")).append_column("score", pa.array(found, pa.float64())).to_batches()
+
+    return symbols.mapInArrow(score_rows, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_recurrent_lm(spark, sf_dir: str) -> DataFrame:

@@ -219,7 +219,7 @@ def test_entropy_is_held_to_what_the_length_leads_to_expect():
 def test_gradients_point_downhill():
     rng = np.random.default_rng(5)
     docs = [np.tile(rng.integers(0, 40, 12), 20).astype(np.int32) for _ in range(40)]
-    p = rnnlm.start(np.bincount(np.concatenate(docs), minlength=rnnlm.HEAD).astype(float), np.zeros(rnnlm.SPELLINGS))
+    p = rnnlm.start(np.bincount(np.concatenate(docs), minlength=rnnlm.SYMBOLS).astype(float))
     before = rnnlm.score(p, docs, 0).sum()
     for _ in range(6):
         p = rnnlm.train(p, docs, 0)
@@ -228,7 +228,7 @@ def test_gradients_point_downhill():
 
 def test_state_is_carried_and_reset():
     rng = np.random.default_rng(6)
-    p = {k: v + rng.normal(0, 0.1, v.shape).astype(np.float32) for k, v in rnnlm.start(np.ones(rnnlm.HEAD), np.ones(rnnlm.SPELLINGS)).items()}
+    p = {k: v + rng.normal(0, 0.1, v.shape).astype(np.float32) for k, v in rnnlm.start(np.ones(rnnlm.SYMBOLS)).items()}
     docs = [rng.integers(0, rnnlm.SYMBOLS, n).astype(np.int32) for n in (1, 300, 5, 77)]
 
     def alone(d):
@@ -277,3 +277,43 @@ def test_network_is_fitted_on_every_training_document(spark, tmp_path, monkeypat
     rnnlm.op7_recurrent_lm(spark, str(tmp_path)).collect()
     train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
     assert seen == [(len(train), sum(len(t.split()) + 1 for t in train))]
+
+
+def test_whole_document_score_is_a_plain_loop_and_does_not_depend_on_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(1500)]  # more than the network tells apart
+    texts = [" ".join(words[int(k)] for k in rng.zipf(1.3, int(rng.integers(1, 80))) % 1500) for _ in range(250)] + ["", "w1 " * 4000, "Unseen-word, w1 w2"]
+    docs = docs_of(spark, texts)
+    kept, fit = [], rnnlm.fit
+
+    def watched(symbols, p, end, tokens, **how):
+        kept.append((fit(symbols, p, end, tokens, **how), end))
+        return kept[-1][0]
+
+    monkeypatch.setattr(rnnlm, "fit", watched)
+    one = {r["doc_id"]: r["score"] for r in rnnlm.score_documents(docs.coalesce(1), replica_tokens=4000).collect()}
+    four = {r["doc_id"]: r["score"] for r in rnnlm.score_documents(docs.repartition(4), replica_tokens=4000).collect()}
+    assert four == pytest.approx(one, rel=1e-3)
+
+    count: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 10:
+            for w in [*WORDS.findall(t.lower()), "\n"]:
+                count[w] = count.get(w, 0) + 1
+    top = sorted([(w, c) for w, c in count.items() if w != "\n"], key=lambda r: (-r[1], r[0]))[: rnnlm.HEAD - 1]
+    head = {w: i for i, (w, _) in enumerate(sorted([*top, ("\n", count["\n"])], key=lambda r: (-r[1], r[0])))}
+    rest = [(rnnlm.spelling(w), c) for w, c in count.items() if w not in head]
+    p, end = kept[0]
+    assert end == head["\n"]
+    for i in (0, 7, 250, 252):
+        h, x, total = np.zeros((1, rnnlm.HIDDEN), np.float32), end, 0.0
+        for w in [*WORDS.findall(texts[i].lower()), "\n"]:
+            h, _ = rnnlm.step(p, h, np.array([x]))
+            if w in head:
+                x = head[w]
+            else:
+                of = [c for s, c in rest if s == rnnlm.spelling(w)]
+                x = rnnlm.HEAD + rnnlm.spelling(w)
+                total += np.log10((count.get(w, 0) + 0.1) / (sum(of) + 0.1 * (len(of) + 1)))
+            total += rnnlm.log_probs(p, h, np.array([x]))[0] / np.log(10)
+        assert one[i] == pytest.approx(total, rel=1e-4)

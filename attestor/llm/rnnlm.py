@@ -26,9 +26,9 @@ from attestor.llm.common import array_of, batches_by_bytes, id_text, release, sp
 
 END = "\n"  # no word holds a line feed
 #: Words the network knows one by one, END included; spellings for all other words; symbols of a class.
-HEAD, SPELLINGS, PER = 1024, 96, 32
+HEAD, SPELLINGS, PER = 1024, 96, 40
 SYMBOLS, CLASSES = HEAD + SPELLINGS, (HEAD + SPELLINGS) // PER
-HIDDEN, WINDOW, LANES = 32, 16, 128
+HIDDEN, WINDOW, LANES = 32, 16, 256
 #: Tokens a replica sees in all its rounds, aimed at; replicas grow with the corpus.
 REPLICA_TOKENS, ROUNDS, RATE = 8_000_000, 3, 4e-3
 ALPHA = 0.1
@@ -87,34 +87,36 @@ def start(counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
     h = HIDDEN
     per = counts.reshape(CLASSES, PER) + ALPHA
     return {k: v.astype(np.float32) for k, v in {
-        "x": rng.normal(0, 0.3, (SYMBOLS, 3 * h)), "u": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
+        "x": rng.normal(0, 0.3, (SYMBOLS, 2 * h)), "u": rng.normal(0, 1 / np.sqrt(h), (h, 2 * h)),
         "c": np.zeros((h, CLASSES)), "cb": np.log(per.sum(1) / per.sum()),
         "w": np.zeros((CLASSES, h, PER)), "wb": np.log(per / per.sum(1, keepdims=True)),
     }.items()}
 
 
 def step(p: dict, h: np.ndarray, x: np.ndarray):
-    """One gated step: (new state, what backpropagation needs)."""
+    """One step of a unit with one gate, which both forgets and resets: (new state, what backpropagation needs).
+
+    gate = (1 + a / (1 + |a|)) / 2, a sigmoid without exponentials; new = h + gate * (tanh(in + gate * own) - h).
+    """
     n = HIDDEN
     g, a = p["x"][x], h @ p["u"]
-    zr = g[:, : 2 * n] + a[:, : 2 * n]
-    zr *= 0.5
-    np.tanh(zr, out=zr)
-    zr += 1
-    zr *= 0.5
-    z, r, ac = zr[:, :n], zr[:, n:], a[:, 2 * n :]
-    c = r * ac
-    c += g[:, 2 * n :]
+    f = g[:, :n] + a[:, :n]
+    low = np.abs(f)
+    low += 1
+    f /= low
+    f += 1
+    f *= 0.5
+    ac = a[:, n:]
+    c = f * ac
+    c += g[:, n:]
     np.tanh(c, out=c)
-    new = h - c
-    new *= z
-    new += c
-    return new, (z, r, c, ac)
+    gap = c - h
+    return h + f * gap, (f, low, c, ac, gap)
 
 
 def _shifted_exp(s: np.ndarray, most: float) -> np.ndarray:
     """exp of logits in place; the largest of each row is taken off only where their bound could overflow."""
-    if most > 60:
+    if most > 40:
         s -= s.max(1, keepdims=True)
     return np.exp(s, out=s)
 
@@ -234,6 +236,7 @@ def train(p: dict, docs: list[np.ndarray], end: int, rate: float = RATE) -> dict
     n, width = HIDDEN, y.shape[1]
     steps, lives = -(-len(y) // WINDOW), (y != PAD).sum(1)
     x[x == PAD] = end
+    bounds = 0.0, 0.0
     h = np.zeros((width, n), np.float32)
     for at in range(0, len(y), WINDOW):
         span, live = min(WINDOW, len(y) - at), int(lives[at])
@@ -252,12 +255,14 @@ def train(p: dict, docs: list[np.ndarray], end: int, rate: float = RATE) -> dict
         rows, edge = by_class(goal)
         rows = rows[: edge[CLASSES]]  # what fills the lanes comes last
         yo, ho, share, i = goal[rows], states.reshape(-1, n)[rows], np.float32(1 / len(rows)), np.arange(len(rows))
-        s = _shifted_exp(ho @ p["c"] + p["cb"], _bound(p["c"], p["cb"]))
+        if at % (64 * WINDOW) == 0:  # 64 small steps do not lift them to where exp overflows
+            bounds = _bound(p["c"], p["cb"]), _bound(p["w"], p["wb"])
+        s = _shifted_exp(ho @ p["c"] + p["cb"], bounds[0])
         s *= share / s.sum(1, keepdims=True)
         s[i, yo // PER] -= share
         g = {"c": ho.T @ s, "cb": s.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
         out = s @ p["c"].T
-        s = _shifted_exp(word_logits(p, ho, edge), _bound(p["w"], p["wb"]))
+        s = _shifted_exp(word_logits(p, ho, edge), bounds[1])
         s *= share / s.sum(1, keepdims=True)
         s[i, yo % PER] -= share
         for q in np.flatnonzero(edge[1:] > edge[:-1]):
@@ -267,28 +272,33 @@ def train(p: dict, docs: list[np.ndarray], end: int, rate: float = RATE) -> dict
         back = np.zeros((len(goal), n), np.float32)
         back[rows] = out
         back = back.reshape(span, live, n)
-        dh, dx, da = np.zeros((live, n), np.float32), np.empty((span, live, 3 * n), np.float32), np.empty((span, live, 3 * n), np.float32)
+        dh, dx, da = np.zeros((live, n), np.float32), np.empty((span, live, 2 * n), np.float32), np.empty((span, live, 2 * n), np.float32)
         for t in range(span - 1, -1, -1):
-            z, r, c, ac = saved[t]
+            f, low, c, ac, gap = saved[t]
             dh += back[t]
-            dc = dh * (1 - z)
-            dc *= 1 - c * c
-            dg = dx[t]
-            np.multiply(dh, (befores[t] - c) * (z * (1 - z)), out=dg[:, :n])
-            np.multiply(dc, ac * (r * (1 - r)), out=dg[:, n : 2 * n])
-            dg[:, 2 * n :] = dc
-            da[t, :, : 2 * n] = dg[:, : 2 * n]
-            np.multiply(dc, r, out=da[t, :, 2 * n :])
-            dh *= z
+            c *= c
+            np.subtract(1, c, out=c)
+            c *= dh
+            c *= f
+            gap *= dh
+            ac *= c
+            gap += ac
+            low *= low
+            gap /= low
+            gap *= 0.5
+            dx[t, :, :n] = da[t, :, :n] = gap
+            dx[t, :, n:] = c
+            np.multiply(c, f, out=da[t, :, n:])
+            dh -= dh * f
             dh += da[t] @ p["u"].T
             if fresh[t]:
                 dh *= ~begins[t, :, None]
-        g["u"] = befores.reshape(-1, n).T @ da.reshape(-1, 3 * n)
+        g["u"] = befores.reshape(-1, n).T @ da.reshape(-1, 2 * n)
         sym = x[at : at + span, :live].ravel()
         order = np.argsort(sym, kind="stable")
         own = sym[order]
         edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        used, gx = own[edges], np.add.reduceat(dx.reshape(-1, 3 * n)[order], edges, axis=0)
+        used, gx = own[edges], np.add.reduceat(dx.reshape(-1, 2 * n)[order], edges, axis=0)
         count += 1
         lr = rate * (1 - 0.9 * (at / WINDOW) / steps)
         fix1, fix2 = 1 - 0.9**count, 1 - 0.99**count

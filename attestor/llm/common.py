@@ -30,10 +30,12 @@ def prepare(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors share.
 
-    Only where the session has no such setting (tests on one machine) a folder of this machine is taken.
+    Only where the session has no such setting and runs on this machine alone (tests), a folder of this machine is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="attestor-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/attestor-{uuid.uuid4().hex}"
@@ -84,6 +86,8 @@ def batches_by_bytes(batches, column: str, limit: int = 16 << 20):
             size += own
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+        del held
+        release()  # idle workers keep nothing of their last task
 
 
 def array_of(table_: pa.Table, column: str) -> pa.Array:

@@ -1,11 +1,14 @@
-"""SimHash near-duplicates by segment bit counts.
-
-A fingerprint is embedded as the bit counts of its 32 two-bit segments, in unary code (0, 1, 11), so that the Manhattan
-distance of two embeddings is the bit count of their XOR. It never exceeds the Hamming distance of the fingerprints: a
-lower bound. Fingerprints within distance 4 differ in at most 4 of 6 groups of segments and so share the grid cell of two
-groups at least; each goes to the 15 cells of its pairs of groups. Inside a cell the lower bound filters, and the Hamming
-distance of the fingerprints decides. A cell gives a link per fingerprint to its component's least one, never all pairs.
-Links join to components by hooking and pointer jumping over written tables.
+"""SimHash near-duplicates by segment bit counts and a grid range-join.
+
+A fingerprint is embedded as the bit counts of its 32 two-bit segments. The Manhattan distance of two embeddings never
+exceeds the Hamming distance of the fingerprints: a lower bound; in unary code (0, 1, 11) it is the bit count of a XOR.
+The grid: segments fall into `most` + 2 groups or more. Of any two points within Manhattan distance `most`, all but `most`
+groups agree, so cells have width 0 in each choice of that many groups; along the norm (the sum of all counts) cells have
+width `most` + 1, and every point also visits the next one, so that points up to `most` apart meet. The more fingerprints
+there are, the more groups, so cells stay small; no pair is lost at any number. Inside a cell points are sorted by norm and
+swept: only those in the range of `most` are compared, first by the Manhattan bound, then by the exact Hamming distance.
+A cell gives a link per fingerprint to its component's first one, never all pairs. Links join to components by hooking and
+pointer jumping over written tables.
 
 Equal fingerprints are folded first, so any number of copies is one entry.
 
@@ -13,6 +16,9 @@ Defined results: null, empty and wordless texts have fingerprint 0, linked like
 one shingle; component_id is the least non-null id (null if all are); repeated rows stay; an empty table stays empty.
 """
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,9 +28,12 @@ from pyspark.sql import functions as F
 from attestor.llm.common import array_of, batches_by_bytes, table, work_dir, written
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
-#: First segment of each of the 6 groups, and the end. 6 groups, 4 differences: 2 groups agree.
-GROUPS = [0, 6, 12, 17, 22, 27, 32]
+SEGMENTS = 32
+#: Fingerprints that chance should bring into a cell at most: beyond it there are more groups, up to MOST_CELLS cells each.
+CELL_ROWS, MOST_CELLS = 8, 2000
 SMALL_CELL, LEAST_ROWS = 64, 1 << 18
+#: Rows of one root are dealt over so many tasks.
+SALTS = 8
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -76,8 +85,8 @@ def near(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, most: int
 
 
 def cell_links(cell: np.ndarray, fp: np.ndarray, most: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each run of equal cells: (row, row of its component's first), at most one a row."""
-    n, u = len(fp), unary(fp)
+    """Links inside each run of equal cells, each sorted by norm: (row, row of its component's first), at most one a row."""
+    n, u, norm = len(fp), unary(fp), np.bitwise_count(fp).astype(np.int16)
     label = np.arange(n)
     begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     size = np.diff(np.append(begin, n))
@@ -87,6 +96,7 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, most: int = DISTANCE) -> tuple[
     live = np.flatnonzero(small)
     for d in range(1, SMALL_CELL):
         live = live[live + d < end[live]]
+        live = live[norm[live + d] - norm[live] <= most]  # sorted by norm: who is out of range now stays so
         if not len(live):
             break
         ok = near(fp[live], fp[live + d], u[live], u[live + d], most)
@@ -109,66 +119,86 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, most: int = DISTANCE) -> tuple[
             todo = [seed]
             while todo and len(rest):
                 x = todo.pop()
-                ok = near(fp[rest], fp[x : x + 1], u[rest], u[x : x + 1], most)
+                lo, hi = np.searchsorted(norm[rest], [norm[x] - most, norm[x] + most + 1])
+                part = rest[lo:hi]
+                ok = near(fp[part], fp[x : x + 1], u[part], u[x : x + 1], most)
                 if ok.any():
-                    found = rest[ok]
+                    found = part[ok]
                     label[found] = seed
                     todo += found.tolist()
-                    rest = rest[~ok]
+                    rest = np.concatenate([rest[:lo], part[~ok], rest[hi:]])
     row = np.flatnonzero(label != np.arange(n))
     return row, label[row]
 
 
-def links(distinct: DataFrame, most: int = DISTANCE) -> DataFrame:
-    """(a, b): fingerprints that hang together, enough to join all that are within the distance. distinct has fp."""
-    if most > len(GROUPS) - 3:  # one more difference, and two groups need not agree
-        raise ValueError(f"the grid is complete for at most {len(GROUPS) - 3} differences, not for {most}")
+def groups_for(fingerprints_: int, most: int = DISTANCE) -> int:
+    """How many groups the segments fall into: a segment's count carries 1.5 bits, all groups but `most` make a cell."""
+    g = most + 2
+    while comb(g + 1, most) <= MOST_CELLS and g < SEGMENTS and fingerprints_ > CELL_ROWS * 2 ** (1.5 * SEGMENTS * (g - most) / g):
+        g += 1
+    return g
+
+
+def cell_masks(groups: int, most: int = DISTANCE) -> list[int]:
+    """Bits of each choice of groups that agree."""
+    edge = [round(i * SEGMENTS / groups) for i in range(groups + 1)]
+    bits = [sum(3 << (2 * s) for s in range(edge[g], edge[g + 1])) for g in range(groups)]
+    return [sum(bits[g] for g in chosen) for chosen in combinations(range(groups), groups - most)]
+
+
+def links(distinct: DataFrame, most: int = DISTANCE, groups: int | None = None) -> DataFrame:
+    """(a, b): fingerprints that hang together, enough to join all that are within the distance. distinct has fp; it is read twice."""
     spark = distinct.sparkSession
-    masks = []
-    for i in range(6):
-        for j in range(i + 1, 6):
-            mask = 0
-            for g in (i, j):
-                for s in range(GROUPS[g], GROUPS[g + 1]):
-                    mask |= 3 << (2 * s)
-            masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    groups = groups or groups_for(distinct.count(), most)
+    if not most + 2 <= groups <= SEGMENTS:
+        raise ValueError(f"the grid needs {most + 2} to {SEGMENTS} groups for {most} differences, not {groups}")
+    masks = [m - (1 << 64) if m >> 63 else m for m in cell_masks(groups, most)]
     low = 0x5555555555555555
     one = f"((fp | shiftrightunsigned(fp, 1)) & {low}L)"
     two = f"((fp & shiftrightunsigned(fp, 1)) & {low}L)"
-    keyed = distinct.select("fp", F.expr(f"{one} | shiftleft({two}, 1)").alias("u"))
-    cells = keyed.select("fp", F.expr("posexplode(array(" + ", ".join(f"u & cast({m} as bigint)" for m in masks) + "))").alias("pair", "cell"))
+    keyed = distinct.select("fp", F.bit_count("fp").cast("int").alias("norm"), F.expr(f"{one} | shiftleft({two}, 1)").alias("u"))
+    cells = keyed.select("fp", "norm", F.expr("posexplode(array(" + ", ".join(f"u & {m}L" if m != -(1 << 63) else "u & shiftleft(1L, 63)" for m in masks) + "))").alias("choice", "cell"))
+    cells = cells.select("choice", "cell", F.expr(f"explode(array(int(norm div {most + 1}), int(norm div {most + 1} + 1)))").alias("band"), "norm", "fp")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = cells.repartition(parts, "pair", "cell").sortWithinPartitions("pair", "cell", "fp")
+    cells = cells.repartition(parts, "choice", "cell", "band").sortWithinPartitions("choice", "cell", "band", "norm", "fp")
 
-    def run(batches):
-        def solve(held):
-            pair, cell, fp = (np.concatenate([h[i] for h in held]) for i in range(3))
-            keys = np.cumsum(np.concatenate([[0], (pair[1:] != pair[:-1]) | (cell[1:] != cell[:-1])]))
-            row, root = cell_links(keys, fp.view(np.uint64), most)
-            return pa.RecordBatch.from_pydict({"a": pa.array(fp[row]), "b": pa.array(fp[root])})
+    def solve(held):
+        choice, cell, band, fp = (np.concatenate([h[i] for h in held]) for i in range(4))
+        new = (choice[1:] != choice[:-1]) | (cell[1:] != cell[:-1]) | (band[1:] != band[:-1])
+        edges = np.flatnonzero(new) + 1
+        return (choice, cell, band, fp), np.cumsum(np.concatenate([[0], new])), edges
 
+    def run(batches):
         held, rows = [], 0
+
+        def linked(cols, keys):
+            row, root = cell_links(keys, cols[3].view(np.uint64), most)
+            return pa.RecordBatch.from_pydict({"a": pa.array(cols[3][row]), "b": pa.array(cols[3][root])})
+
         for b in batches:
-            pair, cell, fp = (np.asarray(b.column(c)) for c in ("pair", "cell", "fp"))
-            if not len(fp):
-                continue
-            if rows >= LEAST_ROWS and (pair[0], cell[0]) != (held[-1][0][-1], held[-1][1][-1]):
-                yield solve(held)
-                held, rows = [], 0
-            elif rows >= LEAST_ROWS:  # the last cell goes on: keep all of it, solve what is before
-                all_ = [np.concatenate([h[i] for h in held]) for i in range(3)]
-                cut = int(np.flatnonzero((all_[0] != all_[0][-1]) | (all_[1] != all_[1][-1]))[-1] + 1) if ((all_[0] != all_[0][-1]) | (all_[1] != all_[1][-1])).any() else 0
+            held.append(tuple(np.asarray(b.column(c)) for c in ("choice", "cell", "band", "fp")))
+            rows += b.num_rows
+            if rows >= LEAST_ROWS:  # the last cell may go on: it waits, what is before is solved
+                cols, keys, edges = solve(held)
+                cut = int(edges[-1]) if len(edges) else 0
                 if cut:
-                    yield solve([tuple(x[:cut] for x in all_)])
-                held, rows = [tuple(x[cut:] for x in all_)], len(all_[2]) - cut
-            held.append((pair, cell, fp))
-            rows += len(fp)
-        if held:
-            yield solve(held)
+                    yield linked([c[:cut] for c in cols], keys[:cut])
+                held, rows = [tuple(c[cut:] for c in cols)], rows - cut
+        if rows:
+            cols, keys, _ = solve(held)
+            yield linked(cols, keys)
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def to_unique(left: DataFrame, key: str, right: DataFrame, right_key: str, how: str = "inner") -> DataFrame:
+    """left joined to a table with one row a key; rows of one key are dealt over SALTS tasks."""
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS)).cast("int")
+    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = left.withColumn("_own", salt)
+    return dealt.join(many, (F.col(key) == F.col(right_key)) & (F.col("_own") == F.col("_salt")), how).drop("_own", "_salt")
+
+
 def components(edges: DataFrame, at: str) -> DataFrame:
     """(node, root) for every node of edges (a, b). Every round hooks each root to its least neighbour and jumps pointers.
 
@@ -183,12 +213,12 @@ def components(edges: DataFrame, at: str) -> DataFrame:
         j = 0
         while True:  # pointer jumping until every pointer is a root
             above = hook.select(F.col("a").alias("h"), F.col("up").alias("upper"))
-            nxt = written(hook.join(above, F.col("up") == F.col("h")).select("a", F.col("upper").alias("up"), (F.col("up") != F.col("upper")).alias("moved")), f"{at}/hook{k}_{j + 1}")
+            nxt = written(to_unique(hook, "up", above, "h").select("a", F.col("upper").alias("up"), (F.col("up") != F.col("upper")).alias("moved")), f"{at}/hook{k}_{j + 1}")
             moved = nxt.filter("moved").limit(1).count()
             hook, j = nxt.select("a", "up"), j + 1
             if not moved:
                 break
-        nodes = written(nodes.join(hook, F.col("root") == F.col("a"), "left").select("node", F.coalesce("up", "root").alias("root")), f"{at}/nodes{k + 1}")
+        nodes = written(to_unique(nodes, "root", hook, "a", "left").select("node", F.coalesce("up", "root").alias("root")), f"{at}/nodes{k + 1}")
         left, right = hook.select("a", F.col("up").alias("ua")), hook.select(F.col("a").alias("b"), F.col("up").alias("ub"))
         edges = written(edges.join(left, "a").join(right, "b").filter("ua != ub").select(F.col("ua").alias("a"), F.col("ub").alias("b")).distinct(), f"{at}/edges{k + 1}")
         k += 1
@@ -201,32 +231,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), f"{at}/prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), f"{at}/distinct")
     nodes = components(links(distinct, most), f"{at}/cc")
-    rooted = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, f"{at}/rooted")
-    ids = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return prints, written(rooted.join(ids, "root"), f"{at}/classes").select("fp", "rep", "root", "component_id")
+    rooted = written(distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "root"), f"{at}/rooted")
+    linked, single = rooted.filter("root IS NOT NULL"), rooted.filter("root IS NULL")
+    ids = linked.groupBy(F.col("root").alias("of")).agg(F.min("rep").alias("component_id"))
+    classes = to_unique(linked, "root", ids, "of").select("fp", "rep", "root", "component_id").unionByName(single.select("fp", "rep", F.col("fp").alias("root"), F.col("rep").alias("component_id")))
+    return prints, written(classes, f"{at}/classes")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group: that with the least id. Needs doc_id and text; returns docs' columns."""
+    """docs with one document of each group: that with the least id, of several such the one with the least fingerprint.
+
+    Needs doc_id and text; returns docs' columns. Texts are exchanged only where an id is given to several rows.
+    """
     prints, classes = near_duplicates(docs, **how)
     kept = classes.filter(F.col("rep") == F.col("component_id")).groupBy("root").agg(F.min("fp").alias("kept_fp"), F.min("rep").alias("kept_id"))
+    again = prints.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
     out = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    again = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select(F.col("doc_id").alias("again"))
-    if again.limit(1).count():  # an id with several texts does not tell which row stands for the group: the fingerprint does
+    shingle = how.get("shingle", SHINGLE)
+    if again.limit(1).count():  # such an id does not tell which row stands for the group: the fingerprint does
         shared = docs.join(again, docs["doc_id"] == again["again"], "left_semi")
-        fps = shared.select("text").distinct().mapInArrow(_text_prints(how.get("shingle", SHINGLE)), "text string, fp long").select(F.col("text").alias("_text"), F.col("fp").alias("_fp"))
+        fps = shared.select("text").distinct().mapInArrow(_text_prints(shingle), "text string, fp long").select(F.col("text").alias("_text"), F.col("fp").alias("_fp"))
         rows = shared.join(fps, shared["text"].eqNullSafe(fps["_text"])).join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("_fp") == F.col("kept_fp")), "left_semi")
-        out = out.join(again, out["doc_id"] == again["again"], "left_anti").dropDuplicates(["doc_id"]).unionByName(rows.dropDuplicates(["doc_id", "_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
-    else:
-        out = out.dropDuplicates(["doc_id"])
-    nameless = classes.filter("component_id is null").select("fp", "root")
-    bare = docs.filter(F.col("doc_id").isNull())
-    if bare.limit(1).count():  # groups without any id keep the first text
-        kept_text = prints.filter("doc_id is null").join(nameless, "fp").select("root").distinct()
-        if kept_text.limit(1).count():
-            fps = bare.select("text").distinct().mapInArrow(_text_prints(how.get("shingle", SHINGLE)), "text string, fp long").join(nameless, "fp").groupBy("root").agg(F.min("text").alias("kept"))
-            out = out.unionByName(bare.join(fps.select("kept"), F.coalesce(bare["text"], F.lit("")) == F.coalesce("kept", F.lit("")), "left_semi").dropDuplicates(["text"]))
+        out = out.join(again, out["doc_id"] == again["again"], "left_anti").unionByName(rows.dropDuplicates(["doc_id", "_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    nameless = classes.filter("component_id IS NULL").select("fp", "root")
+    if nameless.limit(1).count():  # groups without any id keep the first text
+        bare = docs.filter(F.col("doc_id").isNull())
+        firsts = bare.select("text").distinct().mapInArrow(_text_prints(shingle), "text string, fp long").join(nameless, "fp").groupBy("root").agg(F.min(F.coalesce("text", F.lit(""))).alias("kept"))
+        out = out.unionByName(bare.join(firsts.select("kept"), F.coalesce(bare["text"], F.lit("")) == F.col("kept"), "left_semi").dropDuplicates(["text"]))
     return out
 
 

@@ -86,7 +86,7 @@ def test_fingerprints(spark):
     assert got == {i: plain_fingerprint(t) for i, t in enumerate(ODD)}
 
 
-def brute_components(fps):
+def brute_components(fps, most=4):
     root = list(range(len(fps)))
 
     def find(i):
@@ -96,7 +96,7 @@ def brute_components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 4:
+            if bin(fps[i] ^ fps[j]).count("1") <= most:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(fps))]
@@ -119,11 +119,20 @@ def test_links_lose_nothing(spark):
     assert len(set(zip(roots, want))) == len(set(roots)) == len(set(want))
 
 
-def test_links_refuse_a_distance_the_grid_would_lose(spark):
-    distinct = spark.createDataFrame([(0,), (31,)], "fp long")
+def test_links_at_any_distance_and_any_number_of_groups(spark):
+    rng = np.random.default_rng(8)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    fps = sorted({f ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for f in base for n in range(7)})
+    distinct = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    for most, groups in ((4, 9), (6, None), (1, 4)):
+        nodes = {r["node"]: r["root"] for r in simhash.components(simhash.links(distinct, most, groups), f"file:///tmp/attestor-test-{rng.integers(1 << 60)}").collect()}
+        roots = [nodes.get(f - (1 << 64) if f >> 63 else f, f) for f in fps]
+        want = brute_components(fps, most)
+        assert len(set(zip(roots, want))) == len(set(roots)) == len(set(want)), most
     with pytest.raises(ValueError):
-        simhash.links(distinct, most=5)
-    assert [tuple(r) for r in simhash.links(distinct.filter("fp = 0"), most=4).collect()] == []
+        simhash.links(distinct, most=4, groups=5)
+    assert [tuple(r) for r in simhash.links(distinct.filter("fp is null"), most=4).collect()] == []
+    assert [simhash.groups_for(1 << k) for k in (0, 18, 22, 30)] == [6, 6, 7, 10]
 
 
 def test_one_of_each(spark):
@@ -317,3 +326,10 @@ def test_whole_document_score_is_a_plain_loop_and_does_not_depend_on_partitions(
                 total += np.log10((count.get(w, 0) + 0.1) / (sum(of) + 0.1 * (len(of) + 1)))
             total += rnnlm.log_probs(p, h, np.array([x]))[0] / np.log(10)
         assert one[i] == pytest.approx(total, rel=1e-4)
+
+
+def test_repeated_rows_are_dealt_to_all_shards(spark, tmp_path):
+    spark.range(100_000).selectExpr("7L doc_id", "0 piece", "0L start", "int(3 + id % 2) * 1000L length", "5L ids_crc32").write.parquet(f"{tmp_path}/parts")
+    got = packing.pack(spark.read.parquet(f"{tmp_path}/parts"), shard=20_000).toPandas()
+    got["shard"] = got["sequence_id"] // (1 << 32)
+    assert len(got) == 100_000 and got["shard"].nunique() == 5 and got.groupby("shard").size().max() < 22_000

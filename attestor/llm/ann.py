@@ -4,15 +4,22 @@ A bounded sample gives a neighbour graph; the graph is cut into balanced parts;
 belongs to, and routes: every row goes to its most probable part, a query to as many of its most probable parts as hold
 nearly all of the probability. Candidates of those parts are reranked by exact inner products in double precision.
 
-Only the index is fitted on a sample (SAMPLE rows, those with the smallest hashes); every row is indexed. Parts of any
-size are dealt in blocks of candidates and blocks of queries, so a vector repeated a million times is no hot task, and the
-best of all blocks are merged. There is no cap on candidates.
+There are LEAST_PARTS parts or more wherever rows suffice. A network tells FAN parts apart at most: where there are rows for
+more, every part with too many rows is split in the same way by a sample, a graph and a network of its own, level by level,
+so the rows that a query meets don't grow with the table.
+
+Only the index is fitted on samples (SAMPLE rows of each part that is split, chosen by hash); every row is indexed. Parts of
+any size are dealt in blocks of candidates and blocks of queries, so a vector repeated a million times is no hot task, and
+the best of all blocks are merged. There is no cap on candidates.
 
 Defined results: vectors null, empty, zero, with null or non-finite components or of another length than most take no part;
 nor do null ids; rows with one id count once, with the least of their vectors; ties go to the smaller id; an empty table
 gives an empty result.
 """
 
+import math
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +31,8 @@ from attestor.llm.common import array_of, batches_by_bytes, table, work_dir, wri
 #: Bound of the sample that the partition is learned from.
 SAMPLE = 8192
 K, EVERY = 20, 20
-#: Rows of a part, aimed at; parts are at least 1 and at most MOST_PARTS (what a sample of SAMPLE rows can teach).
-PART_ROWS, MOST_PARTS = 4096, 64
+#: Rows of a part, aimed at; parts that a network tells apart at most (what SAMPLE rows can teach), and at least.
+PART_ROWS, FAN, LEAST_PARTS = 4096, 64, 8
 GRAPH_K, SLACK, PASSES = 16, 1.1, 12
 HIDDEN, EPOCHS, BATCH = 128, 60, 256
 #: A query goes to its most probable parts until they hold this share of the probability.
@@ -134,7 +141,8 @@ def route(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def learn(sample: np.ndarray, parts: int) -> dict:
-    if parts == 1 or len(sample) < 4 * parts:
+    parts = min(parts, len(sample) // 8)
+    if parts < 2:
         return {"parts": 1}
     near = neighbour_graph(sample)
     return train(sample, near, balanced_parts(near, parts), parts)
@@ -174,6 +182,71 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     return tuple(np.concatenate(o) if o else np.zeros(0, t) for o, t in ((out_q, np.int64), (out_c, np.int64), (out_s, np.float64)))
 
 
+def _block(n, salt: int = 1):
+    """A block of a row among so many rows."""
+    return F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
+
+
+def _spread(n):
+    return F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+
+
+def _probed(p: np.ndarray, fill: np.ndarray, reach: float, k: int) -> np.ndarray:
+    """(row, part) pairs: parts by falling probability, as long as those before lack probability or rows."""
+    order = np.argsort(-p, axis=1, kind="stable")
+    mass, rows = np.cumsum(np.take_along_axis(p, order, 1), 1), np.cumsum(fill[order], 1)
+    go = np.concatenate([np.ones((len(p), 1), bool), (mass[:, :-1] < reach) | (rows[:, :-1] < k + 1)], 1)
+    q, j = np.nonzero(go)
+    return q, order[q, j]
+
+
+def _counted(rows: DataFrame, path: str) -> DataFrame:
+    return written(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")), path)
+
+
+def _descend(placed: DataFrame, asked: DataFrame, sizes: DataFrame, at: str, level: int, k: int, reach: float, sample: int, part_rows: int):
+    """(placed, asked, sizes) one level deeper: parts with too many rows are split by a network of their own."""
+    kind = placed.schema["vec"].dataType.simpleString()
+    big = written(sizes.filter(F.col("n") > 4 * part_rows), f"{at}/big{level}")
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
+    drawn = placed.join(big, "part").filter(F.pmod(F.xxhash64("vec_id", F.lit(level)), F.lit(1 << 24)) < F.lit(1 << 24) * share).select("part", "n", "vec_id", "vec")
+
+    def learn_one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("vec_id")
+        fan = int(min(FAN, max(2, round(t.column("n")[0].as_py() / part_rows))))
+        return pa.table({"part": t.column("part").slice(0, 1), "model": pa.array([pickle.dumps(learn(matrix(t.column("vec").combine_chunks()).astype(np.float32), fan))], pa.binary())})
+
+    models = written(drawn.groupBy("part").applyInArrow(learn_one, "part long, model binary"), f"{at}/models{level}")
+    blocks = lambda per: F.ceil(F.col("n") / per)
+
+    def assign(rows: pa.Table, own: pa.Table) -> pa.Table:
+        p = route(pickle.loads(own.column("model")[0].as_py()), matrix(rows.column("vec").combine_chunks())) if rows.num_rows else np.zeros((0, 1))
+        return pa.table({"vec_id": rows.column("vec_id"), "vec": rows.column("vec"), "part": pa.array(np.asarray(rows.column("part")) * FAN + p.argmax(1), pa.int64())})
+
+    dealt = placed.join(big, "part").select("part", _block(blocks(BLOCK_ROWS)).alias("b"), "vec_id", "vec")
+    own = models.join(big, "part").select("part", _spread(blocks(BLOCK_ROWS)).alias("b"), "model")
+    split = dealt.groupBy("part", "b").cogroup(own.groupBy("part", "b")).applyInArrow(assign, f"vec_id long, vec {kind}, part long")
+    rest = lambda rows: rows.join(big, "part", "left_anti").select("vec_id", "vec", (F.col("part") * FAN).alias("part"))
+    placed = written(split.unionByName(rest(placed)), f"{at}/placed{level}")
+    below = _counted(placed, f"{at}/sizes{level}")
+    fills = below.groupBy((F.col("part") / FAN).cast("long").alias("part")).agg(F.collect_list(F.struct((F.col("part") % FAN).alias("child"), "n")).alias("fill"))
+
+    def probe(rows: pa.Table, own: pa.Table) -> pa.Table:
+        model = pickle.loads(own.column("model")[0].as_py())
+        fill = np.zeros(model["parts"], np.int64)
+        for f in own.column("fill")[0].as_py():
+            fill[f["child"]] = f["n"]
+        q, child = _probed(route(model, matrix(rows.column("vec").combine_chunks())), fill, reach, k) if rows.num_rows else (np.zeros(0, np.int64),) * 2
+        picked = rows.take(pa.array(q))
+        return pa.table({"vec_id": picked.column("vec_id"), "vec": picked.column("vec"), "part": pa.array(np.asarray(picked.column("part")) * FAN + child, pa.int64())})
+
+    wanted = _counted(asked.join(big, "part", "left_semi"), f"{at}/wanted{level}")
+    dealt = asked.join(wanted, "part").select("part", _block(blocks(BLOCK_QUERIES)).alias("b"), "vec_id", "vec")
+    own = models.join(fills, "part").join(wanted, "part").select("part", _spread(blocks(BLOCK_QUERIES)).alias("b"), "model", "fill")
+    split = dealt.groupBy("part", "b").cogroup(own.groupBy("part", "b")).applyInArrow(probe, f"vec_id long, vec {kind}, part long")
+    return placed, written(split.unionByName(rest(asked)), f"{at}/asked{level}"), below
+
+
 def search(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = EVERY, k: int = K, reach: float = REACH, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `every`."""
     spark, at = rows.sparkSession, work_dir(rows.sparkSession)
@@ -182,45 +255,38 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding
     dim, total = (dims[0]["d"], dims[0]["n"]) if dims else (1, 0)
     vectors = vectors.filter(F.size("vec") == dim)
     kind = vectors.schema["vec"].dataType.simpleString()
-    parts = int(min(MOST_PARTS, max(1, round(total / part_rows))))
+    fan = int(min(FAN, max(LEAST_PARTS, round(total / part_rows))))
     chosen = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 24)) < min(1 << 24, int((1 << 24) * sample / max(total, 1)))).orderBy(F.xxhash64("vec_id")).select("vec").limit(2 * sample).toArrow()
-    model = learn(matrix(chosen.column("vec").combine_chunks()).astype(np.float32), parts)
-    parts = model["parts"]
+    model = learn(matrix(chosen.column("vec").combine_chunks()).astype(np.float32), fan)
     shared = spark.sparkContext.broadcast(model)
 
     def assign(batches):
         for t in batches_by_bytes(batches, "vec", 8 << 20):
-            x = matrix(array_of(t, "vec"))
-            p = route(shared.value, x)
-            ids = np.asarray(t.column("vec_id"))
-            probs = np.where((ids % every == 0)[:, None], p, np.float32(0))
-            probs = pa.array([r if i % every == 0 else None for i, r in zip(ids.tolist(), probs)], pa.list_(pa.float32()))
-            yield from t.append_column("part", pa.array(p.argmax(1), pa.int32())).append_column("probs", probs).to_batches()
+            p = route(shared.value, matrix(array_of(t, "vec")))
+            probs = pa.array([r if i % every == 0 else None for i, r in zip(np.asarray(t.column("vec_id")).tolist(), p)], pa.list_(pa.float32()))
+            yield from t.append_column("part", pa.array(p.argmax(1), pa.int64())).append_column("probs", probs).to_batches()
 
-    placed = written(vectors.mapInArrow(assign, f"vec_id long, vec {kind}, part int, probs array<float>"), f"{at}/placed")
-    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    filled = np.array([sizes.get(p, 0) for p in range(parts)])
+    first = written(vectors.mapInArrow(assign, f"vec_id long, vec {kind}, part long, probs array<float>"), f"{at}/placed")
+    placed = first.select("vec_id", "vec", "part")
+    sizes = _counted(placed, f"{at}/sizes")
+    filled = np.zeros(model["parts"], np.int64)
+    for r in sizes.collect():  # FAN rows at most
+        filled[r["part"]] = r["n"]
 
     def probes(batches):
         for t in batches_by_bytes(batches, "vec", 8 << 20):
-            p = matrix(array_of(t, "probs"))
-            order = np.argsort(-p, axis=1, kind="stable")
-            mass = np.cumsum(np.take_along_axis(p, order, 1), 1)
-            rows_ = np.cumsum(filled[order], 1)
-            # a part is probed as long as those before it lack probability or rows
-            go = np.concatenate([np.ones((len(p), 1), bool), (mass[:, :-1] < reach) | (rows_[:, :-1] < k + 1)], 1)
-            q, j = np.nonzero(go)
-            picked = t.select(["vec_id", "vec"]).take(pa.array(q))
-            yield from picked.append_column("part", pa.array(order[q, j], pa.int32())).to_batches()
-
-    asked = written(placed.filter("probs IS NOT NULL").mapInArrow(probes, f"vec_id long, vec {kind}, part int"), f"{at}/asked")
-    wanted = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    c_blocks = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(p, 0) // BLOCK_ROWS))) for p in range(parts)]), F.col("part") + 1)
-    q_blocks = F.element_at(F.array(*[F.lit(max(1, -(-wanted.get(p, 0) // BLOCK_QUERIES))) for p in range(parts)]), F.col("part") + 1)
-    block = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(1)), n.cast("long")).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cand = placed.select("part", block(c_blocks).alias("cb"), spread(q_blocks).alias("qb"), "vec_id", "vec")
-    ask = asked.select("part", spread(c_blocks).alias("cb"), block(q_blocks).alias("qb"), "vec_id", "vec")
+            q, part = _probed(matrix(array_of(t, "probs")), filled, reach, k)
+            yield from t.select(["vec_id", "vec"]).take(pa.array(q)).append_column("part", pa.array(part, pa.int64())).to_batches()
+
+    asked = written(first.filter("probs IS NOT NULL").select("vec_id", "vec", "probs").mapInArrow(probes, f"vec_id long, vec {kind}, part long"), f"{at}/asked")
+    levels = math.ceil(math.log(max(1.0, total / (FAN * part_rows)), FAN))
+    for level in range(1, levels + 1):
+        placed, asked, sizes = _descend(placed, asked, sizes, at, level, k, reach, sample, part_rows)
+
+    wanted = _counted(asked, f"{at}/wanted").withColumnRenamed("n", "m")
+    plan = written(sizes.join(wanted, "part").select("part", F.ceil(F.col("n") / BLOCK_ROWS).alias("cbs"), F.ceil(F.col("m") / BLOCK_QUERIES).alias("qbs")), f"{at}/plan")
+    cand = placed.join(plan, "part").select("part", _block(F.col("cbs")).alias("cb"), _spread(F.col("qbs")).alias("qb"), "vec_id", "vec")
+    ask = asked.join(plan, "part").select("part", _spread(F.col("cbs")).alias("cb"), _block(F.col("qbs")).alias("qb"), "vec_id", "vec")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

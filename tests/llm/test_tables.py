@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from attestor.llm import ann, warc
 from attestor.llm.common import prepare
@@ -94,6 +95,36 @@ def test_recall_of_learned_partitions(spark):
     assert np.mean([len(found[q] & set(v)) / 20 for q, v in want.items()]) >= 0.9
 
 
+def recall(got, want):
+    found = {q: set(g["vec_id"]) for q, g in got.groupby("query_id")}
+    assert set(found) == set(want) and all(len(found[q]) == len(v) for q, v in want.items())
+    return np.mean([len(found[q] & set(v)) / max(len(v), 1) for q, v in want.items()])
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_given_vectors_are_searched_through_parts(spark, monkeypatch, sf):
+    parts, learn = [], ann.learn
+    monkeypatch.setattr(ann, "learn", lambda x, n: parts.append(learn(x, n)) or parts[-1])
+    got = ann.op4_learned_partitions(spark, f"/root/testdata/{sf}").toPandas()
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    assert parts[0]["parts"] >= ann.LEAST_PARTS
+    assert recall(got, brute(rows, 20, 20)) >= 0.9
+
+
+def test_parts_of_parts(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(0, 1, (300, 16))
+    x = centres[rng.integers(0, 300, 50_000)] + rng.normal(0, 0.3, (50_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = ann.search(df, every=500, part_rows=100, sample=4000).toPandas()
+    ask = np.arange(0, 50_000, 500)
+    scores = x[ask] @ x.T
+    scores[np.arange(len(ask)), ask] = -np.inf
+    want = {int(q): np.argsort(-s, kind="stable")[:20].tolist() for q, s in zip(ask, scores)}
+    assert recall(got, want) >= 0.9
+
+
 def test_pipeline_keeps_columns_and_decides(spark, tmp_path):
     import corpus_pipeline
 

@@ -161,7 +161,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 def pack(parts: DataFrame, *, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """parts with (sequence_id, offset). parts is read twice, so it should be a written table."""
     shards = max(1, -(-parts.count() // shard))
-    keyed = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(shards)).cast("int"))
+    # the row's place in the written table goes into the hash, so repeated rows are dealt too
+    keyed = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)

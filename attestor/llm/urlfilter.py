@@ -1,6 +1,7 @@
 """URL filters: allow and block rules over host suffixes and path prefixes.
 
-Each distinct (host, path) is expanded into every host suffix x every path prefix whose length some rule has. The
+Each distinct (host, path) is expanded into every host suffix x every path prefix whose number of labels, and length, some
+rule has. The
 expressions meet the rules in an equi-join on the first hex digits of their SHA-256; equal full digests confirm, and the
 longest rule wins (then the longer host, then block). Expressions of equal urls are folded before the exchange.
 
@@ -46,7 +47,8 @@ def judge(pages: DataFrame, rules=None, *, id_col: str = "page_id", url_col: str
     host, path = host_and_path(F.col("url"))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
-    suffixes = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")
+    depths = ", ".join(map(str, sorted({h.count(".") + 1 for _, h, _ in rules}))) or "0"  # of hosts that some rule has
+    suffixes = F.expr(f"transform(filter(array({depths}), n -> n <= size(labels)), n -> array_join(slice(labels, size(labels) - n + 1, n), '.'))")
     lens = ", ".join(map(str, lengths)) or "0"
     prefixes = F.expr(f"transform(filter(array({lens}), n -> n <= char_length(path)), n -> substring(path, 1, n))")
     wide = base.withColumn("labels", labels).withColumn("suffixes", suffixes).withColumn("prefixes", prefixes)

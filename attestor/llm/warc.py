@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from attestor.llm.common import table, work_dir, written
 
 MIN_BYTES, ARCHIVE_BYTES, LEVEL = 0, 256 << 20, 1
+#: Entries of a range, which one task merges: the number of ranges grows with the runs.
+RANGE_ENTRIES = 200_000
 ENTRY = "run string, seq long, url_key string, captured timestamp, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, archive_offset long, archive_length long"
 
 
@@ -193,7 +195,7 @@ class LoserTree:
 
 def merge_runs(entries: DataFrame, parts: int | None = None) -> DataFrame:
     """The runs' entries in one global order, with (range_no, position). entries should be a written table: it is read twice."""
-    parts = parts or max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // RANGE_ENTRIES))
     dealt = entries.repartitionByRange(parts, "url_key", "captured", "page_id").sortWithinPartitions("run", "seq")
 
     def run(batches):

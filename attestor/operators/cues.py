@@ -46,6 +46,8 @@ def cues_of(sentence: str | None) -> list[dict]:
 def cue_array(sentence: Column) -> Column:
     @F.pandas_udf(TYPE)
     def cues(s: pd.Series) -> pd.Series:
-        return s.map(cues_of)
+        codes, texts = pd.factorize(s)  # each distinct text of a batch once; null is -1
+        found = pd.Series([*map(cues_of, texts), []], dtype=object)
+        return found.iloc[codes].reset_index(drop=True)
 
     return cues(sentence)

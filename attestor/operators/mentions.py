@@ -72,6 +72,8 @@ def find_mentions(rows: DataFrame, text_col: str, surfaces: dict[str, str]) -> D
     @F.pandas_udf("array<struct<at: int, surface: string, entity_id: string>>")
     def find(s: pd.Series) -> pd.Series:
         finder = cache.setdefault("f", Finder(shared.value))
-        return s.map(finder.find)
+        codes, texts = pd.factorize(s)
+        found = pd.Series([*map(finder.find, texts), []], dtype=object)
+        return found.iloc[codes].reset_index(drop=True)
 
     return rows.withColumn("mentions", find(F.col(text_col)))

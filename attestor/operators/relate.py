@@ -12,7 +12,7 @@ from attestor.functions import scope, text
 from attestor.plans.ontology import EVENTS, SINGLE_VALUED, listed  # noqa: F401
 
 SLOT = ["entity_id", "predicate", "item"]
-SIDE = ["claim_id", "vkey", "rev_kind", "rev_lo", "rev_hi", "rev_lo_inc", "rev_hi_inc", "lo_k", "hi_k", "sensor_kind", "sensor_ids", "doc_id", "doc_no"]
+SIDE = ["claim_id", "vkey", "rev_kind", "rev_lo", "rev_hi", "rev_lo_inc", "rev_hi_inc", "lo_k", "hi_k", "sensor_kind", "sensor_ids", "doc_id", "derived_from"]
 
 
 def visible(claims: DataFrame) -> DataFrame:
@@ -20,9 +20,8 @@ def visible(claims: DataFrame) -> DataFrame:
 
 
 def independent(a: str = "a.", b: str = "b.") -> str:
-    """SQL: different documents, neither derived from the other. Document n derives from n - 1 when n is a multiple of 5."""
-    derives = lambda x, y: f"({x}doc_no % 5 = 0 AND {x}doc_no > 0 AND {y}doc_no = {x}doc_no - 1)"
-    return f"({a}doc_id <> {b}doc_id AND NOT {derives(a, b)} AND NOT {derives(b, a)})"
+    """SQL: different documents, neither in the other's derived_from."""
+    return f"({a}doc_id <> {b}doc_id AND NOT coalesce(array_contains({a}derived_from, {b}doc_id), false) AND NOT coalesce(array_contains({b}derived_from, {a}doc_id), false))"
 
 
 def slot_pairs(claims: DataFrame) -> DataFrame:
@@ -35,27 +34,60 @@ def slot_pairs(claims: DataFrame) -> DataFrame:
     return pairs.withColumn("relation", F.expr(scope.scope_relation("a_", "b_")))
 
 
-def relations(claims: DataFrame) -> DataFrame:
-    """(kind, src, dst, independent): what follows from the scope algebra for visible claims that need no review."""
-    pairs = slot_pairs(visible(claims).filter(~F.col("needs_review")))
+def _kinds(pairs: DataFrame) -> DataFrame:
+    """pairs with kinds: what the scope relation makes of two claims."""
     pairs = pairs.withColumn("same", F.expr("a_vkey = b_vkey")).withColumn("ind", F.expr(independent("a_", "b_")))
-    kinds = F.expr(f"""CASE WHEN same AND relation = 'OVERLAP' THEN IF(NOT ind AND a_doc_id <> b_doc_id, array('corroborates', 'derived_from'), array('corroborates'))
+    return pairs.withColumn("kinds", F.expr(f"""CASE WHEN same AND relation = 'OVERLAP' THEN IF(NOT ind AND a_doc_id <> b_doc_id, array('corroborates', 'derived_from'), array('corroborates'))
         WHEN NOT same AND predicate IN ({listed(SINGLE_VALUED)}) AND relation = 'OVERLAP' THEN array('conflicts_with')
         WHEN NOT same AND predicate IN ({listed(SINGLE_VALUED)}) AND relation = 'DISJOINT' THEN array('version_scoped_with')
-        ELSE cast(array() AS array<string>) END""")
-    return pairs.select(F.explode(kinds).alias("kind"), F.col("a_claim_id").alias("src"), F.col("b_claim_id").alias("dst"), F.expr("ind OR NOT same").alias("independent"))
+        ELSE cast(array() AS array<string>) END"""))
 
 
-def corroboration(claims: DataFrame) -> DataFrame:
-    """Per claim: other documents that state the same value in an overlapping scope, split by independence of the first claim of each."""
+def relations(claims: DataFrame) -> DataFrame:
+    """(kind, src, dst, independent): what follows from the scope algebra for visible claims that need no review."""
+    pairs = _kinds(slot_pairs(visible(claims).filter(~F.col("needs_review"))))
+    return pairs.select(F.explode("kinds").alias("kind"), F.col("a_claim_id").alias("src"), F.col("b_claim_id").alias("dst"), F.expr("ind OR NOT same").alias("independent"))
+
+
+#: What tells claims of one slot apart where relations are concerned; bounds as versions follow from their texts.
+ALIKE = ["vkey", "doc_id", "rev_kind", "rev_lo", "rev_hi", "rev_lo_inc", "rev_hi_inc", "sensor_kind", "sensor_ids"]
+
+
+def folded(claims: DataFrame) -> DataFrame:
+    """One row for all claims of a slot that are alike in value, document and scope: claim_id is the least of them, n their number."""
     c = claims.withColumn("slot_item", F.coalesce("item", F.lit("")))
+    return c.groupBy("entity_id", "predicate", "slot_item", *ALIKE).agg(F.min("claim_id").alias("claim_id"), F.first("lo_k").alias("lo_k"), F.first("hi_k").alias("hi_k"), F.first("derived_from").alias("derived_from"), F.count(F.lit(1)).alias("n"))
+
+
+def relation_counts(claims: DataFrame) -> DataFrame:
+    """(kind, independent, n) of relations(), counted without making the pairs: alike claims meet once, with their numbers."""
+    c = folded(visible(claims).filter(~F.col("needs_review")))
+    keys = ["entity_id", "predicate", "slot_item"]
+    left = c.select(*keys, *[F.col(x).alias(f"a_{x}") for x in [*SIDE, "n"]])
+    right = c.select(*keys, *[F.col(x).alias(f"b_{x}") for x in [*SIDE, "n"]])
+    pairs = left.join(right, keys).filter("a_claim_id <= b_claim_id").withColumn("relation", F.expr(scope.scope_relation("a_", "b_")))
+    pairs = _kinds(pairs).withColumn("pairs", F.expr("IF(a_claim_id = b_claim_id, a_n * (a_n - 1) div 2, a_n * b_n)")).filter("pairs > 0")
+    return pairs.select(F.explode("kinds").alias("kind"), F.expr("ind OR NOT same").alias("independent"), "pairs").groupBy("kind", "independent").agg(F.sum("pairs").alias("n"))
+
+
+def corroboration(claims: DataFrame) -> DataFrame:
+    """Per claim: other documents that state the same value in an overlapping scope, split by independence.
+
+    Alike claims are folded before they meet, so the work follows distinct (value, document, scope) and not their copies;
+    independence is a matter of the two documents alone.
+    """
+    c = folded(claims)
     keys = ["entity_id", "predicate", "slot_item", "vkey"]
     pick = [x for x in SIDE if x != "vkey"]
     left = c.select(*keys, *[F.col(x).alias(f"a_{x}") for x in pick])
     right = c.select(*keys, *[F.col(x).alias(f"b_{x}") for x in pick])
-    j = left.join(right, keys).filter("a_claim_id <> b_claim_id AND a_doc_id <> b_doc_id").filter(F.expr(scope.scope_relation("a_", "b_") + " = 'OVERLAP'"))
-    first = j.groupBy(F.col("a_claim_id").alias("claim_id"), "b_doc_id").agg(F.min_by(F.expr(independent("a_", "b_")), "b_claim_id").alias("ind"))
-    return first.groupBy("claim_id").agg(F.count_if("ind").alias("n_independent"), F.count_if(~F.col("ind")).alias("n_derived"))
+    met = left.join(right, keys).filter("a_doc_id <> b_doc_id").filter(F.expr(scope.scope_relation("a_", "b_") + " = 'OVERLAP'"))
+    first = met.groupBy(F.col("a_claim_id").alias("least_id"), "b_doc_id").agg(F.bool_and(F.expr(independent("a_", "b_"))).alias("ind"))
+    per = first.groupBy("least_id").agg(F.count_if("ind").alias("n_independent"), F.count_if(~F.col("ind")).alias("n_derived"))
+    group = c.join(per, F.col("claim_id") == F.col("least_id")).select("entity_id", "predicate", "slot_item", *ALIKE, "n_independent", "n_derived")
+    slot_item = F.coalesce(claims["item"], F.lit(""))
+    on = [claims["entity_id"] == group["entity_id"], claims["predicate"] == group["predicate"], slot_item == group["slot_item"], *[claims[x].eqNullSafe(group[x]) for x in ALIKE]]
+    return claims.join(group, on).select("claim_id", "n_independent", "n_derived")
 
 
 def infer_mapping(claims: DataFrame, map_predicates=("normal_operating_pressure", "alarm_trigger_condition", "reset_pressure_limit")) -> DataFrame:
@@ -67,7 +99,11 @@ def infer_mapping(claims: DataFrame, map_predicates=("normal_operating_pressure"
     scopes = ["rev_kind", "rev_lo", "rev_hi", "rev_lo_inc", "rev_hi_inc", "lo_k", "hi_k", "sensor_kind", "sensor_ids"]
     v = visible(claims)
     keys = v.filter("predicate = 'config_key_value' AND value_type = 'quantity'")
-    stated = v.filter(F.col("predicate").isin(*map_predicates) & (F.col("assertion_kind") == "stated") & ~F.col("needs_review") & (F.col("value_type") == "quantity"))
+    stated = v.filter(F.col("predicate").isin(*map_predicates) & (F.col("assertion_kind") == "stated") & ~F.col("needs_review"))
+    if "cond_value" in stated.columns:  # a condition's bound counts as its value
+        bound = F.col("value_type") == "condition"
+        stated = stated.withColumn("value", F.when(bound, F.col("cond_value")).otherwise(F.col("value"))).withColumn("unit", F.when(bound, F.col("cond_unit")).otherwise(F.col("unit")))
+    stated = stated.filter(F.col("value_type").isin("quantity", "condition") & F.col("value").isNotNull())
     target = F.concat_ws(" of ", "predicate", "entity_id")
     b = stated.groupBy("value", "unit", *[F.col(s).alias(f"b_{s}") for s in scopes]).agg(F.min(target).alias("low"), F.max(target).alias("high"))
     a = keys.select("value", "unit", *[F.col(s).alias(f"a_{s}") for s in scopes]).distinct()
@@ -107,14 +143,21 @@ def infer_distinct(claims: DataFrame) -> DataFrame:
 
 
 def dual_agreement(one: DataFrame, other: DataFrame) -> DataFrame:
-    """The second reader's claims against the first's: disagree, agree or unconfirmed (difference wins)."""
-    pick = [x for x in SIDE if x != "doc_id"]
-    c = lambda d, p: d.select("entity_id", "predicate", F.coalesce("item", F.lit("")).alias(f"{p}item"), *[F.col(x).alias(f"{p}{x}") for x in pick])
+    """(claim_id, reader, outcome, lifecycle): the second reader's claims against the first's, and what becomes of both.
+
+    Difference wins: both sides of a disagreement are demoted. A second claim that agrees is rejected as a copy and the
+    first one is confirmed; one without a counterpart is demoted. First claims that none meets are not returned.
+    """
+    pick = [x for x in SIDE if x not in ("doc_id", "derived_from")]
+    c = lambda d, p: d.select("entity_id", "predicate", F.coalesce("item", F.lit("")).alias(f"{p}item"), *[F.col(x).alias(f"{p}{x}") for x in pick], *([F.col("lifecycle").alias("b_lifecycle")] if p == "b_" else []))
     j = c(other, "a_").join(c(one, "b_"), ["entity_id", "predicate"], "left")
     over = F.expr(f"b_claim_id IS NOT NULL AND {scope.scope_relation('a_', 'b_')} = 'OVERLAP'")
-    differs = over & F.expr(f"a_vkey <> b_vkey AND predicate IN ({listed(SINGLE_VALUED)}) AND a_item = b_item")
-    per = j.groupBy(F.col("a_claim_id").alias("claim_id")).agg(F.bool_or(F.coalesce(differs, F.lit(False))).alias("diff"), F.bool_or(F.coalesce(over & F.expr("a_vkey = b_vkey"), F.lit(False))).alias("eq"))
-    return per.select("claim_id", F.expr("CASE WHEN diff THEN 'disagree' WHEN eq THEN 'agree' ELSE 'unconfirmed' END").alias("outcome"), F.expr("CASE WHEN diff THEN 'DEMOTED' WHEN eq THEN 'REJECTED' ELSE 'DEMOTED' END").alias("lifecycle"))
+    differs = F.coalesce(over & F.expr(f"a_vkey <> b_vkey AND predicate IN ({listed(SINGLE_VALUED)}) AND a_item = b_item"), F.lit(False))
+    j = j.withColumn("differs", differs).withColumn("equals", F.coalesce(over & F.expr("a_vkey = b_vkey"), F.lit(False)))
+    second = j.groupBy(F.col("a_claim_id").alias("claim_id")).agg(F.bool_or("differs").alias("diff"), F.bool_or("equals").alias("eq"))
+    first = j.filter("differs OR equals").groupBy(F.col("b_claim_id").alias("claim_id"), "b_lifecycle").agg(F.bool_or("differs").alias("diff"))
+    second = second.selectExpr("claim_id", "'second' AS reader", "CASE WHEN diff THEN 'disagree' WHEN eq THEN 'agree' ELSE 'unconfirmed' END AS outcome", "IF(NOT diff AND eq, 'REJECTED', 'DEMOTED') AS lifecycle")
+    return second.unionByName(first.selectExpr("claim_id", "'first' AS reader", "IF(diff, 'disagree', 'agree') AS outcome", "IF(diff, 'DEMOTED', b_lifecycle) AS lifecycle"))
 
 
 def maximal(claims: DataFrame, group: list[str]) -> DataFrame:

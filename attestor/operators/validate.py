@@ -33,7 +33,11 @@ def quote_exists(quote: str = "quote", element: str = "element_text") -> str:
     return f"IF(coalesce(instr({text.normalize(element)}, {text.normalize(quote)}) > 0, false), 'PASS', 'FAIL')"
 
 
-def value_supported() -> str:
+#: The name in an entity id stands in the quote, by itself.
+NAMED = r"coalesce(quote RLIKE concat('(?i)(?<![A-Za-z0-9])\\\\Q', substring(value_id, instr(value_id, ':') + 1), '\\\\E(?![A-Za-z0-9])'), false)"
+
+
+def value_supported(mentioned: str = "cast(array() AS array<string>)") -> str:
     nums = r"transform(regexp_extract_all(quote, '(-?\\d+(?:\\.\\d+)?)', 1), x -> cast(x AS DOUBLE))"
     same_dim = f"filter({quantity.parse('quote')}, q -> {quantity.dimension_of('q.unit')} = {quantity.dimension_of('unit')} OR q.unit = unit)"
     number = f"(raw IS NULL OR array_contains({nums}, raw)) AND (size({same_dim}) = 0 OR exists({same_dim}, q -> {quantity.equal('value', 'q.value', 'unit', 'q.unit')}))"
@@ -48,6 +52,7 @@ def value_supported() -> str:
         WHEN value_type = 'procedure' THEN IF(instr(quote, element_at(split(value_id, ':'), 2)) > 0, 'PASS', 'FAIL')
         WHEN value_type = 'list' THEN IF(forall(items, i -> {has.format('lower(i)')}), 'PASS', 'FAIL')
         WHEN value_type = 'not_specified' THEN IF(quote RLIKE '(?i)null|not specified|no .* specified|not included', 'PASS', 'FAIL')
+        WHEN value_type = 'entity' THEN IF(array_contains({mentioned}, value_id) OR {NAMED}, 'PASS', 'FAIL')
         ELSE 'PASS' END"""
 
 
@@ -87,6 +92,7 @@ def subject_named(claims: DataFrame, surfaces: dict[str, str]) -> DataFrame:
     c = mentions.find_mentions(c.withColumn("region", F.expr("IF(raster IN ('agree', 'disagree'), element_text, NULL)")), "region", surfaces).withColumnRenamed("mentions", "in_region")
     c = c.withColumn("row_norm", F.expr(text.norm_key(f"regexp_extract(element_text, '{ROW_KEY}', 1)"))).join(F.broadcast(keys), "row_norm", "left")
     own = lambda m: f"filter(transform({m}, m -> m.entity_id), e -> split(e, ':')[0] = split(entity_id, ':')[0])"
+    c = c.withColumn("named", F.expr("transform(in_quote, m -> m.entity_id)"))
     c = c.withColumns({"in_quote": F.expr(own("in_quote")), "in_region": F.expr(own("in_region"))})
     layer = f"""CASE WHEN predicate NOT IN ({listed(SELF_DESCRIBING)}) OR assertion_kind <> 'stated' THEN 'SKIP'
         WHEN row_entity IS NOT NULL THEN IF(row_entity = entity_id, 'PASS', 'FAIL')
@@ -102,10 +108,10 @@ def validate(claims: DataFrame, surfaces: dict[str, str] | None = None) -> DataF
     c = claims.withColumn("cues", cue_array(F.expr(text.strip_parens("quote"))))
     ontology = F.broadcast(predicate_table(claims.sparkSession))  # a row for each predicate of the closed world
     c = c.join(ontology, "predicate", "left")
-    c = c.withColumns({"v1": F.expr(quote_exists()), "v2": F.expr(value_supported()), "v3": F.expr(scope_faithful()), "v4": F.expr(condition_faithful()), "v5": F.expr(types_allowed())})
+    c = c.withColumns({"v1": F.expr(quote_exists()), "v2": F.expr(value_supported("named" if surfaces else "cast(array() AS array<string>)")), "v3": F.expr(scope_faithful()), "v4": F.expr(condition_faithful()), "v5": F.expr(types_allowed())})
     c = c.withColumn("v_raster", F.expr("CASE raster WHEN 'disagree' THEN 'VETO' WHEN 'agree' THEN 'PASS' ELSE 'SKIP' END"))
     new = "CASE WHEN lifecycle <> 'PROPOSED' THEN lifecycle WHEN array_contains(array(v1, v2, {v2b}v3, v4, v5), 'FAIL') THEN 'REJECTED' WHEN v_raster = 'VETO' THEN 'DEMOTED' ELSE 'ADMITTED' END"
-    return c.withColumn("lifecycle", F.expr(new.format(v2b="v2b, " if surfaces else ""))).drop("kinds", "vtypes", "dim", "cues")
+    return c.withColumn("lifecycle", F.expr(new.format(v2b="v2b, " if surfaces else ""))).drop("kinds", "vtypes", "dim", "cues", "named")
 
 
 def audit(validated: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ wide AS (SELECT a.*, n_values > 1 AND a.predicate IN ({listed(SINGLE_VALUED)}) A
 top AS (SELECT * FROM wide a WHERE NOT EXISTS (SELECT 1 FROM wide b WHERE b.question_id = a.question_id AND b.slot_no = a.slot_no AND b.entity_id = a.entity_id AND b.predicate = a.predicate AND b.it = a.it AND b.vkey = a.vkey AND {duck_wider('b.', 'a.')})),
 mem AS (SELECT question_id, slot_no, entity_id, predicate, it, vkey, count(*) AS n_members FROM wide GROUP BY ALL),
 rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, slot_no, entity_id, predicate, it, vkey, CASE WHEN split THEN scope_text ELSE '' END ORDER BY k1, k2, k3, claim_id) AS r FROM top) WHERE r = 1),
-rels AS (SELECT a.claim_id AS src, b.claim_id AS dst, a.vkey AS v1, b.vkey AS v2, {duck_relation()} AS relation, a.predicate, a.doc_id AS d1, b.doc_id AS d2, a.doc_no AS n1, b.doc_no AS n2
+rels AS (SELECT a.claim_id AS src, b.claim_id AS dst, a.vkey AS v1, b.vkey AS v2, {duck_relation()} AS relation, a.predicate, a.doc_id AS d1, b.doc_id AS d2
          FROM visible a JOIN visible b ON a.entity_id = b.entity_id AND a.predicate = b.predicate AND coalesce(a.item, '') = coalesce(b.item, '') AND a.claim_id < b.claim_id WHERE NOT a.needs_review AND NOT b.needs_review)"""
 CONF_SQL = f"""{REPS_SQL},
 conf AS (SELECT x.question_id, x.slot_no, least(v1, v2) AS side_a, greatest(v1, v2) AS side_b, count(*) AS n_pairs FROM rels JOIN app x ON x.claim_id = src JOIN app y ON y.claim_id = dst AND y.question_id = x.question_id AND y.slot_no = x.slot_no
@@ -96,9 +96,9 @@ def version_contains(spark, sf_dir):
     return c.withColumn("k", F.expr(version_key("v"))).filter(F.expr(contains("k", "lo_k", "hi_k", "rev_lo_inc", "rev_hi_inc"))).groupBy("v", "predicate").agg(F.count(F.lit(1)).alias("n"))
 
 
-PAIRS_SQL = f"""{CLAIMS_SQL}, pairs AS (SELECT a.predicate, a.vkey = b.vkey AS same, {duck_relation()} AS relation, a.claim_id AS src, b.claim_id AS dst, a.doc_id AS d1, b.doc_id AS d2, a.doc_no AS n1, b.doc_no AS n2, a.needs_review OR b.needs_review AS review
+PAIRS_SQL = f"""{CLAIMS_SQL}, pairs AS (SELECT a.predicate, a.vkey = b.vkey AS same, {duck_relation()} AS relation, a.claim_id AS src, b.claim_id AS dst, a.doc_id AS d1, b.doc_id AS d2, a.derived_from AS from1, b.derived_from AS from2, a.needs_review OR b.needs_review AS review
     FROM visible a JOIN visible b ON a.entity_id = b.entity_id AND a.predicate = b.predicate AND coalesce(a.item, '') = coalesce(b.item, '') AND a.claim_id < b.claim_id)"""
-_IND = "(d1 <> d2 AND NOT (n1 % 5 = 0 AND n1 > 0 AND n2 = n1 - 1) AND NOT (n2 % 5 = 0 AND n2 > 0 AND n1 = n2 - 1))"
+_IND = "(d1 <> d2 AND NOT list_contains(from1, d2) AND NOT list_contains(from2, d1))"
 
 
 @query(f"{PAIRS_SQL} SELECT predicate, same, relation, CAST(count(*) AS BIGINT) AS n FROM pairs GROUP BY ALL")
@@ -120,7 +120,7 @@ def relations(spark, sf_dir):
 
 @query(f"{RELS_SQL} SELECT kind, independent, CAST(count(*) AS BIGINT) AS n FROM rel GROUP BY ALL")
 def relation_counts(spark, sf_dir):
-    return relate.relations(claims(spark, sf_dir)).groupBy("kind", "independent").agg(F.count(F.lit(1)).alias("n"))
+    return relate.relation_counts(claims(spark, sf_dir))
 
 
 @query(f"""{CLAIMS_SQL}, q AS (SELECT 'ver' AS rev_kind, '1.11' AS rev_lo, '1.14' AS rev_hi, true AS rev_lo_inc, false AS rev_hi_inc, {duck_key("'1.11'")} AS lo_k, {duck_key("'1.14'")} AS hi_k),
@@ -240,9 +240,10 @@ def infer_mapping(spark, sf_dir):
 
 
 @query(f"""{CLAIMS_SQL}, one AS (SELECT * FROM claims WHERE lifecycle = 'ADMITTED' AND assertion_kind <> 'inferred'), two AS (SELECT * FROM claims WHERE lifecycle = 'ADMITTED' AND assertion_kind = 'inferred'),
-    j AS (SELECT a.claim_id, coalesce(b.claim_id IS NOT NULL AND {duck_relation()} = 'OVERLAP', false) AS ov, a.vkey = b.vkey AS eq, a.predicate IN ({listed(SINGLE_VALUED)}) AND coalesce(a.item, '') = coalesce(b.item, '') AS single FROM two a LEFT JOIN one b ON a.entity_id = b.entity_id AND a.predicate = b.predicate),
+    j AS (SELECT a.claim_id, coalesce(b.claim_id IS NOT NULL AND {duck_relation()} = 'OVERLAP', false) AS ov, b.claim_id AS other, a.vkey = b.vkey AS eq, a.predicate IN ({listed(SINGLE_VALUED)}) AND coalesce(a.item, '') = coalesce(b.item, '') AS single FROM two a LEFT JOIN one b ON a.entity_id = b.entity_id AND a.predicate = b.predicate),
     g AS (SELECT claim_id, bool_or(coalesce(ov AND NOT eq AND single, false)) AS d, bool_or(coalesce(ov AND eq, false)) AS e FROM j GROUP BY claim_id)
-    SELECT claim_id, CASE WHEN d THEN 'disagree' WHEN e THEN 'agree' ELSE 'unconfirmed' END AS outcome, CASE WHEN d THEN 'DEMOTED' WHEN e THEN 'REJECTED' ELSE 'DEMOTED' END AS lifecycle FROM g""")
+    SELECT claim_id, 'second' AS reader, CASE WHEN d THEN 'disagree' WHEN e THEN 'agree' ELSE 'unconfirmed' END AS outcome, CASE WHEN d THEN 'DEMOTED' WHEN e THEN 'REJECTED' ELSE 'DEMOTED' END AS lifecycle FROM g
+    UNION ALL SELECT other, 'first', CASE WHEN bool_or(NOT eq AND single) THEN 'disagree' ELSE 'agree' END, CASE WHEN bool_or(NOT eq AND single) THEN 'DEMOTED' ELSE 'ADMITTED' END FROM j WHERE ov AND (eq OR single) GROUP BY other""")
 def dual_reader(spark, sf_dir):
     c = claims(spark, sf_dir).filter("lifecycle = 'ADMITTED'")
     return relate.dual_agreement(c.filter("assertion_kind <> 'inferred'"), c.filter("assertion_kind = 'inferred'"))
@@ -292,7 +293,10 @@ def claim_lookup(spark, sf_dir):
     return c.join(ids, "claim_id", "left_semi").select("claim_id", F.concat("entity_id", F.lit(" "), "predicate", F.lit(" = "), "vkey").alias("view"), "tier", "doc_id")
 
 
-@query(f"{CLAIMS_SQL}, h AS (SELECT doc_id, sha256(string_agg(claim_id || '|' || vkey || '|' || lifecycle, chr(10) ORDER BY claim_id)) AS h FROM visible GROUP BY doc_id) SELECT substr(sha256(string_agg(doc_id || ':' || h, chr(10) ORDER BY doc_id)), 1, 16) AS store_hash, CAST(count(*) AS BIGINT) AS documents FROM h")
+@query(f"""{CLAIMS_SQL}, h AS (SELECT doc_id, sha256(string_agg(claim_id || '|' || vkey || '|' || lifecycle, chr(10) ORDER BY claim_id)) AS h FROM visible GROUP BY doc_id),
+    a AS (SELECT substr(sha256(doc_id), 1, 6) AS p, sha256(string_agg(doc_id || ':' || h, chr(10) ORDER BY doc_id)) AS h, count(*) AS n FROM h GROUP BY 1),
+    b AS (SELECT substr(p, 1, 4) AS q, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p)) AS h, sum(n) AS n FROM a GROUP BY 1), c AS (SELECT substr(q, 1, 2) AS r, sha256(string_agg(q || ':' || h, chr(10) ORDER BY q)) AS h, sum(n) AS n FROM b GROUP BY 1)
+    SELECT substr(sha256(string_agg(r || ':' || h, chr(10) ORDER BY r)), 1, 16) AS store_hash, CAST(sum(n) AS BIGINT) AS documents FROM c""")
 def store_hash(spark, sf_dir):
     from attestor.sources.store import content_hash
 

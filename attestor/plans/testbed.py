@@ -28,11 +28,13 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linestatus = 'O' AS needs_review",
         "concat('doc:', l_orderkey % 40) AS doc_id",
         "cast(l_orderkey % 40 AS INT) AS doc_no",
+        # every fifth document derives from the one before
+        "IF(l_orderkey % 5 = 0 AND l_orderkey % 40 > 0, array(concat('doc:', l_orderkey % 40 - 1)), cast(array() AS array<string>)) AS derived_from",
         "l_suppkey",
         "l_orderkey",
     )
     j = j.selectExpr(
-        "claim_id", "entity_id", "predicate", "tier", "assertion_kind", "lifecycle", "needs_review", "doc_id", "doc_no", "l_orderkey",
+        "claim_id", "entity_id", "predicate", "tier", "assertion_kind", "lifecycle", "needs_review", "doc_id", "doc_no", "derived_from", "l_orderkey",
         "CASE predicate WHEN 'located_at' THEN 'text' WHEN 'requires_state' THEN 'state' ELSE 'quantity' END AS value_type",
         "IF(predicate IN ('located_at', 'requires_state'), NULL, cast(150 + 10 * q AS DOUBLE)) AS value",
         "IF(predicate IN ('located_at', 'requires_state'), NULL, 'bar') AS unit",
@@ -61,10 +63,11 @@ CLAIMS_SQL = f"""WITH raw AS (
          CASE o_orderpriority WHEN '1-URGENT' THEN 'primary' WHEN '2-HIGH' THEN 'reference' WHEN '3-MEDIUM' THEN 'derived' ELSE 'field_observation' END AS tier,
          CASE l_returnflag WHEN 'A' THEN 'stated' WHEN 'N' THEN 'structural' ELSE 'inferred' END AS assertion_kind,
          CASE WHEN l_discount > 0.095 THEN 'REJECTED' WHEN l_linestatus = 'F' THEN 'ADMITTED' ELSE 'DEMOTED' END AS lifecycle,
-         l_linestatus = 'O' AS needs_review, 'doc:' || (l_orderkey % 40) AS doc_id, CAST(l_orderkey % 40 AS INT) AS doc_no, l_suppkey, l_orderkey
+         l_linestatus = 'O' AS needs_review, 'doc:' || (l_orderkey % 40) AS doc_id, CAST(l_orderkey % 40 AS INT) AS doc_no,
+         CASE WHEN l_orderkey % 5 = 0 AND l_orderkey % 40 > 0 THEN ['doc:' || (l_orderkey % 40 - 1)] ELSE [] END AS derived_from, l_suppkey, l_orderkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 flat AS (
-  SELECT claim_id, entity_id, predicate, tier, assertion_kind, lifecycle, needs_review, doc_id, doc_no, l_orderkey,
+  SELECT claim_id, entity_id, predicate, tier, assertion_kind, lifecycle, needs_review, doc_id, doc_no, derived_from, l_orderkey,
          CASE predicate WHEN 'located_at' THEN 'text' WHEN 'requires_state' THEN 'state' ELSE 'quantity' END AS value_type,
          CASE WHEN predicate IN ('located_at', 'requires_state') THEN NULL ELSE CAST(150 + 10 * q AS DOUBLE) END AS value,
          CASE WHEN predicate IN ('located_at', 'requires_state') THEN NULL ELSE 'bar' END AS unit,

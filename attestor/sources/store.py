@@ -27,11 +27,21 @@ def load(spark: SparkSession, path: str, names=TABLES) -> dict[str, DataFrame]:
 
 
 def content_hash(claims: DataFrame, by: str = "doc_id", row=("claim_id", "vkey", "lifecycle")) -> DataFrame:
-    """(store_hash, documents): rows in id order hashed per document, then the documents' hashes together.
+    """(store_hash, documents): rows in id order hashed per document, then a tree of hashes over the documents.
 
-    Two levels keep the ordered concatenation of any task to one document's claims.
+    A node has at most 256 children, by two digits of the hash of the document's id, so no task concatenates more than one
+    document's rows or 256 hashes (and at the lowest level the documents that share six digits).
     """
-    text = F.concat_ws("|", *row)
-    per = claims.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(row[0]).alias("i"), text.alias("t")))), lambda x: x["t"]), "\n"), 256).alias("h"))
-    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "h"))), lambda x: F.concat_ws(":", x[by], x["h"])), "\n"), 256)
-    return per.agg(F.substring(whole, 1, 16).alias("store_hash"), F.count(F.lit(1)).alias("documents"))
+
+    def fold(rows: DataFrame, group, key: str, text) -> DataFrame:
+        said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("i"), text.alias("t")))), lambda x: x["t"]), "\n")
+        return rows.groupBy(group).agg(F.sha2(said, 256).alias("h"), F.sum("n").alias("n"))
+
+    own = claims.select(by, F.col(row[0]).alias("id"), F.concat_ws("|", *row).alias("t"), F.lit(0).alias("n"))
+    level = fold(own, F.col(by), "id", F.col("t")).withColumn("n", F.lit(1).cast("long"))
+    key, prefix = by, F.substring(F.sha2(F.col(by).cast("string"), 256), 1, 6)
+    for digits in (4, 2, 0):
+        level = fold(level, prefix.alias(f"p{digits}"), key, F.concat_ws(":", F.col(key), F.col("h")))
+        key, prefix = f"p{digits}", F.substring(F.col(f"p{digits}"), 1, digits)
+    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("i"), F.concat_ws(":", F.col(key), F.col("h")).alias("t")))), lambda x: x["t"]), "\n")
+    return level.agg(F.substring(F.sha2(top, 256), 1, 16).alias("store_hash"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("documents"))

@@ -37,7 +37,15 @@ def quote_exists(quote: str = "quote", element: str = "element_text") -> str:
 NAMED = r"coalesce(quote RLIKE concat('(?i)(?<![A-Za-z0-9])\\\\Q', substring(value_id, instr(value_id, ':') + 1), '\\\\E(?![A-Za-z0-9])'), false)"
 
 
-def value_supported(mentioned: str = "cast(array() AS array<string>)") -> str:
+def document_named(claims: DataFrame, elements: DataFrame) -> DataFrame:
+    """claims with in_document: whether a document that the claim's value is stands by name anywhere in the claim's own document."""
+    asked = claims.filter("value_id LIKE 'document:%'").select("doc_id", "value_id").distinct()
+    name = F.expr("substring(value_id, 10)")
+    found = asked.join(elements.select("doc_id", "text"), "doc_id").groupBy("doc_id", "value_id").agg(F.bool_or(F.contains("text", name)).alias("in_document"))
+    return claims.join(found, ["doc_id", "value_id"], "left")
+
+
+def value_supported(mentioned: str = "cast(array() AS array<string>)", in_document: str = "contains(element_text, substring(value_id, 10))") -> str:
     nums = r"transform(regexp_extract_all(quote, '(-?\\d+(?:\\.\\d+)?)', 1), x -> cast(x AS DOUBLE))"
     same_dim = f"filter({quantity.parse('quote')}, q -> {quantity.dimension_of('q.unit')} = {quantity.dimension_of('unit')} OR q.unit = unit)"
     number = f"(raw IS NULL OR array_contains({nums}, raw)) AND (size({same_dim}) = 0 OR exists({same_dim}, q -> {quantity.equal('value', 'q.value', 'unit', 'q.unit')}))"
@@ -52,7 +60,7 @@ def value_supported(mentioned: str = "cast(array() AS array<string>)") -> str:
         WHEN value_type = 'procedure' THEN IF(instr(quote, element_at(split(value_id, ':'), 2)) > 0, 'PASS', 'FAIL')
         WHEN value_type = 'list' THEN IF(forall(items, i -> {has.format('lower(i)')}), 'PASS', 'FAIL')
         WHEN value_type = 'not_specified' THEN IF(quote RLIKE '(?i)null|not specified|no .* specified|not included', 'PASS', 'FAIL')
-        WHEN value_type = 'entity' THEN IF(array_contains({mentioned}, value_id) OR {NAMED}, 'PASS', 'FAIL')
+        WHEN value_type = 'entity' THEN IF(coalesce(array_contains({mentioned}, value_id) OR {NAMED} OR (value_id LIKE 'document:%' AND {in_document}), false), 'PASS', 'FAIL')
         ELSE 'PASS' END"""
 
 
@@ -108,10 +116,11 @@ def validate(claims: DataFrame, surfaces: dict[str, str] | None = None) -> DataF
     c = claims.withColumn("cues", cue_array(F.expr(text.strip_parens("quote"))))
     ontology = F.broadcast(predicate_table(claims.sparkSession))  # a row for each predicate of the closed world
     c = c.join(ontology, "predicate", "left")
-    c = c.withColumns({"v1": F.expr(quote_exists()), "v2": F.expr(value_supported("named" if surfaces else "cast(array() AS array<string>)")), "v3": F.expr(scope_faithful()), "v4": F.expr(condition_faithful()), "v5": F.expr(types_allowed())})
+    of_document = {"in_document": "in_document"} if "in_document" in c.columns else {}
+    c = c.withColumns({"v1": F.expr(quote_exists()), "v2": F.expr(value_supported("named" if surfaces else "cast(array() AS array<string>)", **of_document)), "v3": F.expr(scope_faithful()), "v4": F.expr(condition_faithful()), "v5": F.expr(types_allowed())})
     c = c.withColumn("v_raster", F.expr("CASE raster WHEN 'disagree' THEN 'VETO' WHEN 'agree' THEN 'PASS' ELSE 'SKIP' END"))
     new = "CASE WHEN lifecycle <> 'PROPOSED' THEN lifecycle WHEN array_contains(array(v1, v2, {v2b}v3, v4, v5), 'FAIL') THEN 'REJECTED' WHEN v_raster = 'VETO' THEN 'DEMOTED' ELSE 'ADMITTED' END"
-    return c.withColumn("lifecycle", F.expr(new.format(v2b="v2b, " if surfaces else ""))).drop("kinds", "vtypes", "dim", "cues", "named")
+    return c.withColumn("lifecycle", F.expr(new.format(v2b="v2b, " if surfaces else ""))).drop("kinds", "vtypes", "dim", "cues", "named", "in_document")
 
 
 def audit(validated: DataFrame) -> DataFrame:

@@ -157,3 +157,45 @@ def test_queries_match_sql(spark, name):
     cols = sorted(df.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, map(tuple, df.select(*cols).collect()))) == sorted(map(str, want))
+
+
+def test_documents_are_linked(spark):
+    from attestor.operators import documents
+
+    rows = [("a", "ABC-OM-001 Rev 1", "", "primary"), ("b", "ABC-OM-001 Rev. 2", "", "primary"), ("c", "ABC-OM-001 rev 2", "", "primary"), ("d", "Summary ABC-TR-002", "Taken from ABC-OM-001 and ABC-TR-002 and ABC-XX-009.", "derived"), ("e", "no number", "see ABC-OM-001", "primary")]
+    got = {r["doc_id"]: (r["supersedes"], r["derived_from"]) for r in documents.linked(spark.createDataFrame(rows, "doc_id string, head string, text string, tier string")).collect()}
+    assert got == {"a": ([], []), "b": (["a"], []), "c": (["a", "b"], []), "d": ([], ["c"]), "e": ([], [])}
+
+
+def test_independence_is_a_matter_of_sources(spark):
+    from attestor.operators import relate
+
+    cols = "claim_id string, entity_id string, predicate string, item string, vkey string, doc_id string, derived_from array<string>, rev_kind string, rev_lo string, rev_hi string, rev_lo_inc boolean, rev_hi_inc boolean, lo_k array<int>, hi_k array<int>, sensor_kind string, sensor_ids array<string>, lifecycle string, needs_review boolean"
+    row = lambda i, doc, came: (f"C{i:06d}", "component:1", "located_at", None, "text:x", doc, came, "any", None, None, True, False, None, None, "any", [], "ADMITTED", False)
+    rows = [row(0, "a", []), row(1, "b", ["a"]), row(2, "c", None)] + [row(i, "d", []) for i in range(3, 30_000)]
+    claims = spark.createDataFrame(rows, cols)  # one fact copied many times: folded before it meets
+    got = {r["claim_id"]: (r["n_independent"], r["n_derived"]) for r in relate.corroboration(claims).collect()}
+    assert len(got) == 30_000 and got["C000000"] == (2, 1) and got["C000001"] == (2, 1) and got["C000009"] == (3, 0)
+    n = len(rows)
+    counts = {(r["kind"], r["independent"]): r["n"] for r in relate.relation_counts(claims).collect()}
+    copies = n - 3
+    assert counts[("derived_from", False)] == 1 and counts[("corroborates", True)] + counts[("corroborates", False)] == n * (n - 1) // 2
+    assert counts[("corroborates", True)] == 3 * copies + 2
+
+
+def test_swapped_entities_are_rejected(spark):
+    from attestor.operators.validate import validate
+    from attestor.plans import mini_corpus
+
+    claims = mini_corpus.corpus_claims(spark).filter("value_type = 'entity' AND lifecycle = 'ADMITTED'").drop("v1", "v2", "v2b", "v3", "v4", "v5", "v_raster", "vkey", "lo_k", "hi_k", "needs_review", "derived_from")
+    names = {s: e for e, s in mini_corpus.REGISTER}
+    swapped = claims.withColumn("value_id", F.lit("component:NOT-THERE")).withColumn("lifecycle", F.lit("PROPOSED"))
+    assert claims.count() > 0 and {r["lifecycle"] for r in validate(swapped, names).collect()} == {"REJECTED"}
+
+
+def test_names_that_prose_states(spark):
+    from attestor.operators.extract import stated_names
+
+    rows = [("d", "paragraph", 'The Hydraulic Power Pack (HPU) runs. Operators call it the "press unit" or just "unit".'), ("d", "table_row", "The Hydraulic Power Pack (HPU)")]
+    got = {(r["surface"], r["status"]) for r in stated_names(spark.createDataFrame(rows, "doc_id string, kind string, text string")).collect()}
+    assert got == {("Hydraulic Power Pack", "doc_stated"), ("press unit", "asserted"), ("unit", "rejected")}

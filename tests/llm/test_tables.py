@@ -129,7 +129,9 @@ def test_pipeline_keeps_columns_and_decides(spark, tmp_path):
     import corpus_pipeline
 
     rng = np.random.default_rng(3)
-    words = {"aa": "the river was calm and they waited near the old stone bridge until morning came again".split(), "bb": "der fluss war ruhig und sie warteten nahe der alten brücke bis zum nächsten morgen".split()}
+    # words of real texts: a text of a dozen words over and over is what the quality rules reject
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang IN ('en', 'de') AND text IS NOT NULL").toPandas()
+    words = {k: sorted({w for t in given[given["lang"] == lang]["text"] for w in t.split() if w.isalpha()}) for k, lang in (("aa", "en"), ("bb", "de"))}
     rows = []
     for i in range(160):
         k = "aa" if i % 2 else "bb"
@@ -143,3 +145,13 @@ def test_pipeline_keeps_columns_and_decides(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert not {500, 501, 502, 503} & set(out["doc_id"]) and set(range(100)) & set(out["doc_id"])
     assert (out.groupby("sequence_id")["length"].sum() <= 4096).all()
+
+
+def test_empty_table_goes_through_every_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, score int, part string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.collect() == [] and docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "part"], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect() == []

@@ -11,7 +11,8 @@ table packs nothing; a null id is kept. Other columns are never read.
 
 import re
 import zlib
-from itertools import chain
+from array import array
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 4096, 1
 SHARD = 1 << 16
 #: Distinct pre-tokens whose ids a worker keeps (about 100 MB); when full it starts anew.
 MOST_KEPT = 400_000
+ID_OF = attrgetter("id")
 _loaded: dict = {}
 
 
@@ -44,10 +46,10 @@ class WordTokenizer:
     its model by pre-token, which are kept; all others take the full way.
     """
 
-    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    PLAIN = re.compile(r"[!-~]+")
-    COMPOSED = re.compile(r"[!-~¡-¬®-ɏ]+")
+    ASCII = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+")
+    LATIN = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    PLAIN = re.compile(r"[\n!-~]+")
+    COMPOSED = re.compile(r"[\n!-~¡-¬®-ɏ]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,32 +59,57 @@ class WordTokenizer:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.byte_char = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.kept: dict[str, list[int]] = {}
-
-    def pre_token(self, p: str) -> list[int]:
-        got = self.kept.get(p)
-        if got is None:
-            if len(self.kept) >= MOST_KEPT:
-                self.kept.clear()
-            mapped = p if p.isascii() else "".join(map(self.byte_char.__getitem__, p.encode()))
-            got = self.kept[p] = [t.id for t in self.model.tokenize(mapped)]
-        return got
-
-    def word(self, w: str) -> list[int]:
-        if "<|" in w:
-            return self.whole.encode(w, add_special_tokens=False).ids
-        if self.PLAIN.fullmatch(w):
-            parts = self.ASCII.findall(w.lower())
-        elif self.COMPOSED.fullmatch(w):
-            parts = self.LATIN.findall("".join(map(str.lower, w)))
-        else:
-            return self.whole.encode(w, add_special_tokens=False).ids
-        if len(parts) == 1:
-            return self.pre_token(parts[0])
-        out: list[int] = []
-        for p in parts:
-            out += self.pre_token(p)
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.place["\n"] = 0  # what separates words has no ids
+        self.ids, self.begin = array("I"), array("q", [0, 0])
+
+    def _learn(self, parts: list[str]) -> None:
+        """Keep the ids of pre-tokens not met yet. A line break before a word marks one that takes the full way."""
+        new = list(set(parts).difference(self.place))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        more, note, tokenize, as_chars = self.ids.extend, self.begin.append, self.model.tokenize, self.byte_char.__getitem__
+        for p in new:
+            if p[0] == "\n":
+                more(self.whole.encode(p[1:], add_special_tokens=False).ids)
+            else:
+                more(map(ID_OF, tokenize(p if p.isascii() else "".join(map(as_chars, p.encode())))))
+            note(len(self.ids))
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of ids of each word, where they begin, all ids). Words of a kind are cut at once, joined by line breaks."""
+        if len(self.place) >= MOST_KEPT:
+            self._forget()
+        plain, latin, other = [], [], []
+        for i, w in enumerate(words):
+            (plain if w.isascii() else latin).append(i)
+        parts: list[str] = []
+        for kind, known, lower, cut in ((plain, self.PLAIN, str.lower, self.ASCII), (latin, self.COMPOSED, lambda x: "".join(map(str.lower, x)), self.LATIN)):
+            joined = "\n".join([words[i] for i in kind])
+            if kind and ("<|" in joined or not known.fullmatch(joined)):  # some take the full way
+                fit = [i for i in kind if "<|" not in words[i] and known.fullmatch(words[i])]
+                other += sorted(set(kind).difference(fit))
+                kind[:] = fit
+                joined = "\n".join([words[i] for i in kind])
+            if kind:
+                parts += cut.findall(lower(joined))
+                parts.append("\n")
+        for i in other:
+            parts += ["\n" + words[i], "\n"]
+        own = np.array(plain + latin + other, np.int64)
+        self._learn(parts)
+        codes = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+        begin, ids = np.array(self.begin, np.int64), np.array(self.ids, np.uint32)
+        size = begin[codes + 1] - begin[codes]
+        ends = np.cumsum(size)
+        flat = ids[np.repeat(begin[codes] - (ends - size), size) + np.arange(int(size.sum()))]
+        stop = ends[codes == 0]  # a line break ends each word
+        lens, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at[own] = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
+        lens[own] = np.diff(stop, prepend=0)
+        return lens, at, flat
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -95,13 +122,13 @@ def token_ids(texts: pa.Array, path: str):
     """The ids of each whole text, its end id included, one array a text."""
     tok = tokenizer(path)
     codes, offsets, words = split_words(texts)
-    lens, flats = np.zeros(len(words), np.int64), []
-    for at in range(0, len(words), 1 << 14):  # so that few lists of ids are held at a time
-        encoded = list(map(tok.word, words.slice(at, 1 << 14).to_pylist()))
-        lens[at : at + len(encoded)] = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flats.append(np.fromiter(chain.from_iterable(encoded), np.uint32))
+    lens, begin, flats, held = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+    for at in range(0, len(words), 1 << 16):  # so that few words are held as Python objects at a time
+        size, start, ids = tok.words(words.slice(at, 1 << 16).to_pylist())
+        lens[at : at + len(size)], begin[at : at + len(size)] = size, start + held
+        flats.append(ids)
+        held += len(ids)
     flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
-    begin = np.concatenate([[0], np.cumsum(lens)])
     for a, b in zip(offsets[:-1], offsets[1:]):
         own = codes[a:b]
         size = lens[own]

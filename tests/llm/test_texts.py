@@ -333,3 +333,14 @@ def test_repeated_rows_are_dealt_to_all_shards(spark, tmp_path):
     got = packing.pack(spark.read.parquet(f"{tmp_path}/parts"), shard=20_000).toPandas()
     got["shard"] = got["sequence_id"] // (1 << 32)
     assert len(got) == 100_000 and got["shard"].nunique() == 5 and got.groupby("shard").size().max() < 22_000
+
+
+def test_words_of_any_kind_get_the_tokenizers_ids():
+    import random
+
+    path = packing.vocabulary_path()
+    whole, rng = packing.tokenizer(path).whole, random.Random(1)
+    letters = "abzZ019'sStTdD.!?<|>éÉßİıǅ\u0308\u00ad\u200d日本🙂ÆɐɏÅﬁ\x01\x7f  \n\t"
+    texts = ["<|endoftext|> a<|b", "", None] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    for text, ids in zip(texts, packing.token_ids(pa.array(texts, pa.string()), path)):
+        assert ids.tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, packing.END_ID]

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from attestor.functions import scope
 from attestor.functions.version import contains, version_key
-from attestor.operators import relate, resolve
+from attestor.functions.workers import stored
+from attestor.operators import answer, decisions as decide, relate, resolve
 from attestor.plans.ontology import KIND_ORDER, POLICIES, SINGLE_VALUED, TIER_ORDER, listed, place
 from attestor.plans.testbed import CLAIMS_SQL, claims, duck_describe, duck_key, duck_relation, duck_rev_relation, duck_wider
 
@@ -202,6 +203,59 @@ def advisories(spark, sf_dir):
     return resolve.advisories(claims(spark, sf_dir), slots_of_parts(spark, sf_dir)).select("question_id", "slot_no", "claim_id", "why")
 
 
+DECISIONS_SQL = f"""{CONF_SQL},
+adv AS (SELECT question_id, slot_no, claim_id FROM slots s JOIN (SELECT *, predicate AS asp FROM visible WHERE needs_review OR rev_kind = 'unknown' UNION ALL SELECT *, 'normal_operating_pressure' FROM visible WHERE predicate = 'observed_pressure') v ON v.asp = s.s_predicate AND v.entity_id = s.s_entity),
+dec0 AS (SELECT question_id, slot_no, 'CONFLICT' AS kind, 3 AS k, side_a || ' | ' || side_b AS subject FROM conf
+    UNION ALL SELECT question_id, slot_no, 'GAP', 4, predicate FROM slots s WHERE NOT EXISTS (SELECT 1 FROM rep r WHERE r.question_id = s.question_id AND r.slot_no = s.slot_no)
+    UNION ALL SELECT question_id, slot_no, 'INFERRED', 6, claim_id FROM rep WHERE assertion_kind = 'inferred' UNION ALL SELECT question_id, slot_no, 'ADVISORY', 8, claim_id FROM adv),
+dec1 AS (SELECT question_id, kind, k, subject, min(slot_no) AS slot_no FROM dec0 GROUP BY ALL),
+dec AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY k, slot_no, subject) AS decision_no, kind, slot_no, subject FROM dec1)"""
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The parts' slots resolved, and their decisions, each table written once: they are read several times."""
+    slots = slots_of_parts(spark, sf_dir)
+    out = resolve.resolve(claims(spark, sf_dir), slots, kinds=("entity",))
+    disposed = stored(out["disposed"], "disposed")
+    reps = stored(resolve.representatives(disposed), "reps")
+    conflict = stored(resolve.conflicts(disposed, relate.relations(claims(spark, sf_dir))), "conflicts")
+    out |= {"disposed": disposed, "reps": reps, "conflicts": conflict, "status": resolve.gate(slots, reps, conflict)}
+    return out, decide.decisions(slots, reps, conflict, out["advisories"])
+
+
+@query(f"{DECISIONS_SQL} SELECT question_id, CAST(decision_no AS INT) AS decision_no, kind, CAST(slot_no AS INT) AS slot_no, subject FROM dec")
+def decisions(spark, sf_dir):
+    return _resolved(spark, sf_dir)[1].drop("text")
+
+
+@query(f"""{DECISIONS_SQL}, st AS (SELECT s.question_id, s.slot_no, EXISTS (SELECT 1 FROM rep r WHERE r.question_id = s.question_id AND r.slot_no = s.slot_no) AS covered, EXISTS (SELECT 1 FROM conf c WHERE c.question_id = s.question_id AND c.slot_no = s.slot_no) AS conflicted FROM slots s WHERE s.required),
+    status AS (SELECT question_id, NOT bool_or(conflicted) AND NOT bool_or(covered) AS nothing, NOT bool_or(conflicted) AND bool_or(covered) AND NOT bool_and(covered) AS part FROM st GROUP BY question_id),
+    said AS (SELECT question_id, 'Part ' || entity_id || ': ' || vkey || ' (' || scope_text || ')' || CASE question_id % 10 WHEN 3 THEN ' 999' WHEN 5 THEN ' 150' ELSE '' END AS text, CASE question_id % 10 WHEN 1 THEN [] WHEN 2 THEN [claim_id, 'C0'] ELSE [claim_id] END AS ids FROM rep),
+    cited AS (SELECT DISTINCT question_id, unnest(ids) AS claim_id FROM said), told AS (SELECT * FROM dec WHERE question_id % 10 <> 4),
+    stated AS (SELECT DISTINCT question_id, unnest(regexp_extract_all(text, '\\d+(?:\\.\\d+)*')) AS number FROM said),
+    may0 AS (SELECT question_id, unnest([vkey, entity_id, scope_text]) AS t FROM rep UNION ALL SELECT question_id, subject FROM dec), may1 AS (SELECT question_id, unnest(regexp_extract_all(t, '\\d+(?:\\.\\d+)*')) AS n FROM may0),
+    may AS (SELECT question_id, n AS number FROM may1 UNION SELECT question_id, regexp_replace(n, '^(\\d+)\\.0+$', '\\1') FROM may1),
+    never AS (SELECT DISTINCT question_id, regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') AS number FROM disp d WHERE disposition = 'excluded: scope disjoint' AND value_type = 'quantity' AND NOT EXISTS (SELECT 1 FROM rep r WHERE r.question_id = d.question_id AND r.vkey = d.vkey))
+    SELECT question_id, 'claim cited but not selected' AS failure, claim_id AS detail FROM cited c WHERE NOT EXISTS (SELECT 1 FROM rep r WHERE r.question_id = c.question_id AND r.claim_id = c.claim_id)
+    UNION SELECT question_id, 'claim selected but not cited', claim_id FROM rep r WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE r.question_id = c.question_id AND r.claim_id = c.claim_id)
+    UNION SELECT question_id, 'decision not stated', subject FROM dec WHERE question_id % 10 = 4
+    UNION SELECT question_id, 'number without a source', number FROM stated ANTI JOIN may USING (question_id, number)
+    UNION SELECT question_id, 'value of another scope', number FROM stated SEMI JOIN never USING (question_id, number)
+    UNION SELECT question_id, 'quote not in its source', claim_id FROM rep WHERE question_id % 10 = 6
+    UNION SELECT question_id, 'unanswerable but stated', 'UNANSWERABLE' FROM status WHERE nothing AND question_id IN (SELECT question_id FROM said)
+    UNION SELECT question_id, 'partial without a gap', 'PARTIAL' FROM status WHERE part AND question_id NOT IN (SELECT question_id FROM told WHERE kind = 'GAP')""")
+def contract_checks(spark, sf_dir):
+    """Answers with planted faults, by the last digit of the question: citations left out or foreign, strange and barred numbers, decisions unsaid, quotes astray."""
+    out, decided = _resolved(spark, sf_dir)
+    decided, reps, digit = stored(decided, "decisions"), out["reps"], F.expr("question_id % 10")
+    text = F.concat(F.lit("Part "), "entity_id", F.lit(": "), "vkey", F.lit(" ("), "scope_text", F.lit(")"), F.when(digit == 3, " 999").when(digit == 5, " 150").otherwise(""))
+    ids = F.expr("CASE question_id % 10 WHEN 1 THEN cast(array() AS array<string>) WHEN 2 THEN array(claim_id, 'C0') ELSE array(claim_id) END")
+    said = reps.select("question_id", F.lit("SOURCE").alias("kind"), text.alias("text"), ids.alias("claim_ids"), F.lit([]).cast("array<int>").alias("decision_nos"))
+    said = said.unionByName(decide.derived_sentences(decided).filter(digit != 4))
+    selected = reps.select("question_id", "claim_id", F.array("vkey", "entity_id", "scope_text").alias("allowed"), (digit != 6).alias("quoted"))
+    return decide.contract(out["status"], selected, said, decided, answer.forbidden(out["disposed"], reps))
+
+
 def _other_end(c: DataFrame) -> DataFrame:
     """Entity-valued claims: each requires_state claim points at the component with the next number."""
     return c.withColumn("value_id", F.expr("IF(predicate = 'requires_state', concat('component:', cast(substring(entity_id, 11) AS BIGINT) + 1), NULL)"))

@@ -5,9 +5,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.functions import scope
 from attestor.functions.version import version_key
 from attestor.functions.workers import stored
-from attestor.operators import answer, documents, mentions, questions, resolve
+from attestor.operators import answer, decisions, documents, mentions, questions, resolve
 from attestor.operators.cues import cue_array
 from attestor.operators.extract import extract, with_keys
 from attestor.operators.validate import document_named, validate
@@ -126,6 +127,20 @@ def ask(spark: SparkSession, claims: DataFrame, texts: list[str]) -> dict[str, D
     return answer_questions(claims, spark.createDataFrame(list(enumerate(texts)), "question_id long, question string"), len(texts))
 
 
+def audited(claims: DataFrame, asked: DataFrame, out: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(decisions, failures of the contract) of answered questions. The numbers a sentence may state are those of its claims,
+    of the decisions and of the question."""
+    unmapped = asked.select("question_id").join(out["slots"].select("question_id").distinct(), "question_id", "left_anti")
+    decided = stored(decisions.decisions(out["slots"], out["reps"], out["conflicts"], out["advisories"], unmapped), "decisions")
+    said = out["answers"].select("question_id", F.explode(F.arrays_zip("sentences", "claim_ids")).alias("s")).select("question_id", F.lit("SOURCE").alias("kind"), F.col("s.sentences").alias("text"), F.array("s.claim_ids").alias("claim_ids"), F.lit([]).cast("array<int>").alias("decision_nos"))
+    said = said.unionByName(decisions.derived_sentences(decided))
+    texts = F.array_compact(F.concat(F.array("vkey", "entity_id", F.expr(scope.describe()), "value_id", "v_text"), F.coalesce("items", F.lit([]).cast("array<string>"))))
+    known = claims.select("claim_id", texts.alias("allowed"), F.expr("contains(element_text, quote)").alias("quoted"))
+    stated = out["status"].filter("status <> 'UNANSWERABLE'").select("question_id")
+    selected = out["reps"].select("question_id", "claim_id").distinct().join(stated, "question_id", "left_semi").join(known, "claim_id")
+    return decided, decisions.contract(out["status"], selected, said, decided, out["forbidden"], asked)
+
+
 def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
@@ -162,3 +177,16 @@ def mini_corpus_mutations(spark, sf_dir):
         one = ask(spark, corpus_claims(spark, **{m: True}), QUESTIONS[:1])["answers"].select(F.lit(m).alias("mutation"), "status")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query()
+def mini_corpus_decisions(spark, sf_dir):
+    claims, asked = corpus_claims(spark), spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id long, question string")
+    return audited(claims, asked, answer_questions(claims, asked, len(QUESTIONS)))[0]
+
+
+@query("SELECT CAST(0 AS BIGINT) AS question_id, '' AS failure, '' AS detail WHERE false")
+def mini_corpus_contract(spark, sf_dir):
+    """Answers that break the contract: there are none."""
+    claims, asked = corpus_claims(spark), spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id long, question string")
+    return audited(claims, asked, answer_questions(claims, asked, len(QUESTIONS)))[1]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from attestor.functions import scope
 from attestor.functions.version import contains, version_key
 from attestor.functions.workers import stored
-from attestor.operators import answer, decisions as decide, relate, resolve
+from attestor.operators import answer, decisions as decide, provenance as prove, relate, resolve
 from attestor.plans.ontology import KIND_ORDER, POLICIES, SINGLE_VALUED, TIER_ORDER, listed, place
 from attestor.plans.testbed import CLAIMS_SQL, claims, duck_describe, duck_key, duck_relation, duck_rev_relation, duck_wider
 
@@ -293,6 +293,34 @@ def infer_mapping(spark, sf_dir):
     return relate.infer_mapping(claims(spark, sf_dir))
 
 
+@query(f"""{REPS_SQL} SELECT question_id, CAST(slot_no AS INT) AS slot_no, claim_id, 'primary' AS role, doc_id FROM rep
+    UNION SELECT r.question_id, CAST(r.slot_no AS INT), r.claim_id, CASE WHEN list_contains(r.derived_from, a.doc_id) OR list_contains(a.derived_from, r.doc_id) THEN 'derived' ELSE 'corroborating' END, a.doc_id
+    FROM rep r JOIN app a USING (question_id, slot_no, entity_id, predicate, it, vkey) WHERE a.doc_id <> r.doc_id""")
+def answer_evidence(spark, sf_dir):
+    d = resolve.dispose(resolve.candidates(claims(spark, sf_dir), slots_of_parts(spark, sf_dir), kinds=("entity",)))
+    return prove.evidence(resolve.representatives(d), d)
+
+
+@query(f"""SELECT 'I:R-CFGKEY-01:' || m.claim_id AS inferred_id, 'R-CFGKEY-01' AS rule, 'component:' || CAST(CAST(substr(m.claim_id, 14, 9) AS BIGINT) AS VARCHAR) AS entity_id, 'config_key_maps_to' AS predicate, target AS value, m.claim_id AS from_claim FROM ({SQL['infer_mapping']}) m WHERE NOT ambiguous
+    UNION ALL SELECT 'I:R-SUPERSEDED-DISTINCT:' || claim_id, 'R-SUPERSEDED-DISTINCT', 'component:' || (CAST(substr(entity_id, 11) AS BIGINT) + 1), 'is_distinct_from', entity_id, claim_id
+    FROM ({CLAIMS_SQL} SELECT * FROM visible WHERE predicate = 'requires_state' AND assertion_kind = 'stated' AND NOT needs_review)""")
+def inferred_claims(spark, sf_dir):
+    """The start-up states of the test bed stand for supersessions, each part by the next."""
+    return prove.inferred_claims(_other_end(claims(spark, sf_dir)).withColumn("predicate", F.expr("IF(predicate = 'requires_state', 'superseded_by', predicate)")))
+
+
+@query(f"""{CLAIMS_SQL}, s AS (SELECT *, 'component:' || (CAST(substr(entity_id, 11) AS BIGINT) + 1) AS value_id, {duck_describe()} AS scope_text FROM visible WHERE predicate = 'requires_state' AND NOT needs_review),
+    l AS (SELECT DISTINCT CAST(substr(entity_id, 11) AS BIGINT) AS n FROM s), o AS (SELECT *, {duck_describe()} AS scope_text FROM visible WHERE predicate = 'located_at' AND NOT needs_review AND tier IN ('primary', 'reference'))
+    SELECT n AS question_id, min(claim_id) AS claim_id, 'identity' AS why FROM l JOIN s ON CAST(substr(entity_id, 11) AS BIGINT) = n JOIN part ON p_partkey = n WHERE tier IN ('primary', 'reference') GROUP BY n, entity_id, vkey, scope_text
+    UNION ALL SELECT n, min(claim_id), 'identity' FROM l JOIN o ON CAST(substr(entity_id, 11) AS BIGINT) IN (n, n + 1) JOIN part ON p_partkey = n GROUP BY n, entity_id, vkey, scope_text""")
+def expansions(spark, sf_dir):
+    """Start-up states stand for supersessions and places for support: what an answer on each part and the next takes in besides."""
+    c = _other_end(claims(spark, sf_dir)).withColumn("predicate", F.expr("CASE predicate WHEN 'requires_state' THEN 'superseded_by' WHEN 'located_at' THEN 'supported_on' ELSE predicate END"))
+    s = slots_of_parts(spark, sf_dir).filter("slot_no = 2").withColumn("policy", F.lit("IDENTITY")).withColumn("pair", F.expr("array(concat('component:', question_id + 1), concat('component:', question_id))"))
+    nothing = c.limit(0).select(F.lit(0).cast("long").alias("question_id"), "claim_id")
+    return prove.expansions(nothing, s, c)
+
+
 @query(f"""{CLAIMS_SQL}, one AS (SELECT * FROM claims WHERE lifecycle = 'ADMITTED' AND assertion_kind <> 'inferred'), two AS (SELECT * FROM claims WHERE lifecycle = 'ADMITTED' AND assertion_kind = 'inferred'),
     j AS (SELECT a.claim_id, coalesce(b.claim_id IS NOT NULL AND {duck_relation()} = 'OVERLAP', false) AS ov, b.claim_id AS other, a.vkey = b.vkey AS eq, a.predicate IN ({listed(SINGLE_VALUED)}) AND coalesce(a.item, '') = coalesce(b.item, '') AS single FROM two a LEFT JOIN one b ON a.entity_id = b.entity_id AND a.predicate = b.predicate),
     g AS (SELECT claim_id, bool_or(coalesce(ov AND NOT eq AND single, false)) AS d, bool_or(coalesce(ov AND eq, false)) AS e FROM j GROUP BY claim_id)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
@@ -116,3 +117,19 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
         keep[empty] = False
         return codes, offsets, coded.dictionary.filter(pa.array(keep))
     return codes, offsets, coded.dictionary
+
+
+def bounded_sample(rows: DataFrame, *, of: Column, key: Column, rows_: int, size: int, classes: int = 256, text: str = "text") -> DataFrame:
+    """At most rows_ rows and `size` bytes of texts of each class: those with the smallest keys; ties are cut by rank.
+
+    Only the `classes` most frequent classes are drawn from, and no text above a sixteenth of `size`, so that the driver may
+    collect the result whatever the input. A first pass over the classes' counts lets few rows through to the ranking.
+    """
+    kept = rows.withColumns({"of": of, "key": key}).filter(F.octet_length(text) <= size // 16)
+    counts = kept.groupBy("of").agg(F.count(F.lit(1)).alias("class_rows")).orderBy(F.desc("class_rows"), "of").limit(classes)
+    share = F.pmod(F.col("key"), F.lit(1 << 30)) * (F.col("class_rows") / float(1 << 30))  # twice the rows wanted, so that enough come
+    near = kept.join(F.broadcast(counts), "of").filter(share < 2 * rows_ + 64).drop("class_rows")
+    order = Window.partitionBy("of").orderBy("key", text)
+    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows_)
+    total = F.sum(F.octet_length(text)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.withColumn("total", total).filter(F.col("total") <= size).drop("rank", "total")

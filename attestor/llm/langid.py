@@ -5,8 +5,9 @@ embeddings of all its n-grams; a linear softmax over it gives the language. The
 fitted on learning documents that training left out, and texts below the calibrated threshold are marked rejected.
 
 Prediction reads whole texts: n-grams are hashed once per distinct word of an Arrow batch and gathered, so no text is cut.
-The classifier is fitted on a bounded sample of labelled rows: about PER_LANG documents of each language, those with the
-smallest hash of their id; nothing else is sampled. lang, source and the id are never inputs of a prediction.
+The classifier is fitted on a bounded sample of labelled rows: of each language (the LANGS most frequent ones) at most PER_LANG
+documents and LANG_BYTES bytes of texts, those with the smallest hash of id and text; nothing else is sampled. Training takes
+STEPS steps at least, however few the rows. lang, source and the id are never inputs of a prediction.
 
 Defined results: null text or text without a letter is `und` with score 0 and rejected; without any labelled row all is
 `und`; with one label all else is that label; rows with a null id count as learning rows; an empty table stays empty.
@@ -20,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.llm.common import array_of, batches_by_bytes, id_text, release, split_words, table
+from attestor.llm.common import array_of, batches_by_bytes, bounded_sample, id_text, release, split_words, table
 
-#: The bound of the sample the classifier is fitted on: expected number of documents of each language.
-PER_LANG = 500
+#: The bound of the sample the classifier is fitted on: documents and bytes of texts of each language, and languages.
+PER_LANG, LANG_BYTES, LANGS = 500, 2 << 20, 128
 #: Distinct words, and bytes of texts, that prediction works on at a time.
 WORD_SLICE, CHUNK = 1 << 15, 8 << 20
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
-EPOCHS, BATCH, RATE = 6, 64, 0.5
+EPOCHS, STEPS, BATCH, RATE = 6, 600, 64, 0.5
 #: Of calibration documents that were predicted right, so many may be rejected; the threshold is held within these bounds.
 REJECTED_RIGHT, LEAST, MOST = 0.001, 0.3, 0.5
 UND = "und"
@@ -42,10 +43,28 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of all words, and where each word's begin."""
+def gather_sum(rows: np.ndarray, index: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of rows[index[offsets[i]:offsets[i+1]]], one place of all segments at a time, and long segments each on their own."""
+    size = np.diff(offsets)
+    out = np.zeros((len(size), rows.shape[1]), rows.dtype)
+    long = size > 256
+    for i in np.flatnonzero(long):
+        for at in range(offsets[i], offsets[i + 1], 1 << 16):
+            out[i] += rows[index[at : min(at + (1 << 16), offsets[i + 1])]].sum(0)
+    order = np.argsort(np.where(long, 0, -size), kind="stable")
+    left, begin = np.where(long, 0, size)[order], offsets[:-1][order]
+    sums, live = np.zeros_like(out), len(size)
+    for j in range(int(left[0]) if len(left) else 0):
+        live = int(np.searchsorted(-left[:live], -j))
+        sums[:live] += rows[index[begin[:live] + j]]
+    out[order] += sums
+    return out
+
+
+def grams(words: pa.Array, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (a power of two) of all byte n-grams of all words, and where each word's begin."""
     n = len(words)
-    marked = pc.binary_join_element_wise(pa.scalar("<", pa.large_string()), pc.utf8_lower(words), pa.scalar(">", pa.large_string()), pa.scalar("", pa.large_string()))
+    marked = pc.binary_join_element_wise(pa.scalar("<", pa.large_string()), pc.utf8_lower(words) if lower else words, pa.scalar(">", pa.large_string()), pa.scalar("", pa.large_string()))
     if isinstance(marked, pa.ChunkedArray):
         marked = marked.combine_chunks()
     if not n:
@@ -54,8 +73,8 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(marked.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
     offsets = offsets - offsets[0]
     word = np.repeat(np.arange(n), np.diff(offsets))
-    buckets, owners = [], []
-    for k in ORDERS:
+    found, owners = [], []
+    for k in orders:
         if len(data) < k:
             continue
         h = np.full(len(data) - k + 1, k, np.uint64)
@@ -64,9 +83,9 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         h *= np.uint64(0x9E3779B97F4A7C15)
         own = word[: len(h)]
         whole = own == word[k - 1 :]
-        buckets.append((h[whole] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32))
+        found.append((h[whole] >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32))
         owners.append(own[whole])
-    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+    owner, bucket = np.concatenate(owners), np.concatenate(found)
     order = np.argsort(owner, kind="stable")
     return bucket[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
 
@@ -99,8 +118,9 @@ def fit(texts: list[str], langs: list[str], calibrate: list[bool], seed: int = 7
     x, y = bags(pa.array(texts, pa.large_string())), np.array([names.index(v) for v in langs])
     held = np.array(calibrate)
     train = np.flatnonzero(~held) if (~held).any() else np.arange(len(y))
-    steps, done = EPOCHS * (-(-len(train) // BATCH)), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // -(-len(train) // BATCH)))
+    steps, done = epochs * (-(-len(train) // BATCH)), 0
+    for _ in range(epochs):
         rng.shuffle(train)
         for at in range(0, len(train), BATCH):
             rows = train[at : at + BATCH]
@@ -132,14 +152,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> dict:
-    """Fit on a bounded sample: of each language, ids whose hash lies below per_lang / rows of the language."""
+    """Fit on a bounded sample of the rows with text and language whose id's crc32 modulo 4 is not 2."""
     crc = F.crc32(id_text(id_col).cast("binary"))
-    known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), crc.alias("crc"), F.xxhash64(id_text(id_col)).alias("h")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("crc") % 4 != 2))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return fit([], [], [])
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_lang / n))) for k, n in counts.items()])
-    sample = known.filter((F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)) < share).select("text", "lang", (F.col("crc") % 4 == 3).alias("cal"), "h").toPandas().sort_values(["h", "lang", "text"])
+    known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), crc.alias("crc"), id_text(id_col).alias("id")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("crc") % 4 != 2))
+    drawn = bounded_sample(known, of=F.col("lang"), key=F.xxhash64("id", "text"), rows_=per_lang, size=LANG_BYTES, classes=LANGS)
+    sample = drawn.select("text", "lang", (F.col("crc") % 4 == 3).alias("cal"), "key").toPandas().sort_values(["key", "lang", "text"])
     model = fit(list(sample["text"]), list(sample["lang"]), list(sample["cal"]))
     del sample
     release()
@@ -157,14 +174,14 @@ def predict_texts(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]
     vec[:, DIM + 1] = np.asarray(pc.match_substring_regex(words, r"\p{L}"))
     for at in range(0, len(words), WORD_SLICE):  # so that the n-grams held at a time stay few
         bucket, begin = grams(words.slice(at, WORD_SLICE))
-        vec[at : at + WORD_SLICE, :DIM] = segment_sum(model["emb"][bucket], begin)
+        vec[at : at + WORD_SLICE, :DIM] = gather_sum(model["emb"], bucket, begin)
         vec[at : at + WORD_SLICE, DIM] = np.diff(begin)
     step = 1 << 17
-    sums = np.zeros((n, DIM + 2), np.float64)
+    sums = np.zeros((n, DIM + 2), np.float32)
     at = 0
     while at < n:
         to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + step, "right")) - 1))
-        sums[at:to] = segment_sum(vec[codes[offsets[at] : offsets[to]]].astype(np.float64), offsets[at : to + 1] - offsets[at])
+        sums[at:to] = gather_sum(vec, codes[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
     has = sums[:, DIM + 1] > 0
     mean = sums[:, :DIM] / np.maximum(sums[:, DIM : DIM + 1], 1)

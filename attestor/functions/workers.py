@@ -15,18 +15,22 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([root, *paths])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table below spark.checkpoint.dir, which driver and executors share, and read it again.
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
 
     Only where the session has no such setting (tests on one machine) a folder of this machine is taken.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="attestor-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/attestor-{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/attestor-{uuid.uuid4().hex}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below spark.checkpoint.dir and read it again."""
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

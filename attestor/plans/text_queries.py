@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestor.functions import quantity, text
-from attestor.operators import answer, bm25, mentions as mention_ops, questions as question_ops
+from attestor.functions.workers import work_path
+from attestor.operators import answer, bm25, fulltext, mentions as mention_ops, questions as question_ops
 from attestor.operators.cues import cue_array
 from attestor.operators.relate import first_of
 from attestor.operators.validate import audit, validate
@@ -136,6 +137,16 @@ def bm25_topk(spark, sf_dir):
     return bm25.top_k(read(spark, sf_dir, "benchmark"), "item_id", read(spark, sf_dir, "documents"), "doc_id", k=10)
 
 
+@query(SQL["bm25_topk"])
+def fulltext_topk(spark, sf_dir):
+    """bm25_topk's rows from an index on disk, built in two batches (one language, then all others)."""
+    docs, path = read(spark, sf_dir, "documents"), work_path(spark, "index")
+    one = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for name, batch in (("en", docs.filter(one)), ("others", docs.filter(~one))):
+        fulltext.append(spark, path, batch, "doc_id", name)
+    return fulltext.top_k(spark, path, read(spark, sf_dir, "benchmark"), "item_id", "doc_id", k=10)
+
+
 @query(r"""SELECT doc_id, CASE WHEN len(ts) = 0 THEN 'n/a' WHEN len(list_filter(ts, lambda t: NOT contains(upper(regexp_replace(text, '\s+', '', 'g')), upper(regexp_replace(t, '\s+', '', 'g'))))) = 0 THEN 'agree' ELSE 'disagree' END AS agreement
     FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN [] WHEN 1 THEN ['THE', 'of the'] ELSE ['qqzz'] END AS ts FROM documents)""")
 def token_agreement(spark, sf_dir):

@@ -49,6 +49,19 @@ def relations(claims: DataFrame) -> DataFrame:
     return pairs.select(F.explode("kinds").alias("kind"), F.col("a_claim_id").alias("src"), F.col("b_claim_id").alias("dst"), F.expr("ind OR NOT same").alias("independent"))
 
 
+def relations_of_new(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The rows of relations(new + old) that hold a new claim. Slots without one are not met, and old claims don't meet each other."""
+    keys = ["entity_id", "predicate", "slot_item"]
+    shown = lambda c: visible(c).filter(~F.col("needs_review")).withColumn("slot_item", F.coalesce("item", F.lit("")))
+    fresh = shown(new)
+    both = fresh.select(*keys, *SIDE, F.lit(True).alias("fresh")).unionByName(shown(old).join(fresh.select(*keys).distinct(), keys, "left_semi").select(*keys, *SIDE, F.lit(False).alias("fresh")))
+    left = fresh.select(*keys, *[F.col(x).alias(f"a_{x}") for x in SIDE])
+    right = both.select(*keys, *[F.col(x).alias(f"b_{x}") for x in [*SIDE, "fresh"]])
+    pairs = left.join(right, keys).filter("NOT b_fresh OR a_claim_id < b_claim_id").withColumn("relation", F.expr(scope.scope_relation("a_", "b_")))
+    ends = [F.least("a_claim_id", "b_claim_id").alias("src"), F.greatest("a_claim_id", "b_claim_id").alias("dst")]
+    return _kinds(pairs).select(F.explode("kinds").alias("kind"), *ends, F.expr("ind OR NOT same").alias("independent"))
+
+
 #: What tells claims of one slot apart where relations are concerned; bounds as versions follow from their texts.
 ALIKE = ["vkey", "doc_id", "rev_kind", "rev_lo", "rev_hi", "rev_lo_inc", "rev_hi_inc", "sensor_kind", "sensor_ids"]
 

@@ -10,8 +10,9 @@ from attestor.functions.version import version_key
 from attestor.functions.workers import stored
 from attestor.operators import answer, decisions, documents, mentions, questions, resolve
 from attestor.operators.cues import cue_array
-from attestor.operators.extract import extract, with_keys
-from attestor.operators.validate import document_named, validate
+from attestor.operators.extract import extract
+from attestor.operators.validate import document_named
+from attestor.streaming.ingest import finish
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -70,9 +71,8 @@ def elements(spark: SparkSession, contradiction: bool = False, instruction: bool
 
 def corpus_claims(spark: SparkSession, **mutations) -> DataFrame:
     register = {mentions.re.sub("[^A-Z0-9]", "", s.upper()): e for e, s in REGISTER}
-    proposed = extract(elements(spark, **mutations), register).withColumn("lifecycle", F.lit("PROPOSED")).withColumn("raster", F.lit("n/a"))
-    proposed = document_named(proposed, elements(spark, **mutations))
-    checked = with_keys(validate(proposed, {s: e for e, s in REGISTER})).withColumn("needs_review", F.col("lifecycle") == "DEMOTED")
+    proposed = document_named(extract(elements(spark, **mutations), register), elements(spark, **mutations))
+    checked = finish(proposed, {s: e for e, s in REGISTER}).drop("derived_from")
     docs = documents.linked(elements(spark, **mutations).groupBy("doc_id", "tier").agg(F.min_by("text", "el_ord").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("el_ord", "text"))), lambda x: x["text"]), "\n").alias("text")))
     checked = checked.join(docs.select("doc_id", "derived_from"), "doc_id")
     return stored(checked, "claims")  # questions read the store, not the documents

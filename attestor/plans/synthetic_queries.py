@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from attestor.functions import scope
 from attestor.functions.version import contains, version_key
-from attestor.functions.workers import stored
+from attestor.functions.workers import stored, work_path
 from attestor.operators import answer, decisions as decide, provenance as prove, relate, resolve
+from attestor.streaming import maintained
 from attestor.plans.ontology import KIND_ORDER, POLICIES, SINGLE_VALUED, TIER_ORDER, listed, place
 from attestor.plans.testbed import CLAIMS_SQL, claims, duck_describe, duck_key, duck_relation, duck_rev_relation, duck_wider
 
@@ -119,6 +120,19 @@ def relations(spark, sf_dir):
     return relate.relations(claims(spark, sf_dir))
 
 
+@query(SQL["relations"])
+def maintained_relations(spark, sf_dir):
+    """relations' rows from a store that took the claims in five batches of documents. The first batch comes unreviewed, is sent
+    again by the last one as it should be, and the third arrives twice."""
+    c, path = stored(claims(spark, sf_dir), "claims"), work_path(spark, "store")
+    group = F.col("doc_no") % 4
+    batches = [(f"docs-{k}", c.filter(group == k)) for k in range(4)]
+    batches[0] = ("draft", batches[0][1].withColumn("needs_review", F.lit(False)).withColumn("rev_kind", F.lit("any")))
+    for name, batch in [*batches[:3], batches[2], batches[3], ("docs-0", c.filter(group == 0))]:
+        maintained.put(spark, path, batch, name)
+    return maintained.relations(spark, path)
+
+
 @query(f"{RELS_SQL} SELECT kind, independent, CAST(count(*) AS BIGINT) AS n FROM rel GROUP BY ALL")
 def relation_counts(spark, sf_dir):
     return relate.relation_counts(claims(spark, sf_dir))

@@ -197,6 +197,25 @@ def mentions(spark, sf_dir):
     return grams.join(dictionary, F.col("surface") == F.col("w"), "left_semi").select("doc_id", "surface", F.lit(True).alias("found"))
 
 
+@query(r"""WITH RECURSIVE
+    names AS (SELECT 'item:' || item_id AS entity_id, array_to_string(string_split(text, ' ')[1 : 1 + item_id % 5], ' ') AS surface FROM benchmark UNION ALL SELECT 'part:' || p_partkey, p_name FROM part UNION ALL SELECT 'word:the', 'The' UNION ALL SELECT 'word:of the', 'of the'),
+    cut AS (SELECT entity_id, regexp_replace(lower(surface), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') AS surface FROM names WHERE regexp_replace(upper(surface), '[^A-Z0-9]', '', 'g') <> ''),
+    known AS (SELECT surface, regexp_extract_all(surface, '[^a-z0-9]*[a-z0-9]+') AS parts, count(DISTINCT entity_id) AS n, min(entity_id) AS e FROM cut GROUP BY surface),
+    ts AS (SELECT doc_id, regexp_extract_all(lower(text), '[^a-z0-9]*[a-z0-9]+') AS ts FROM documents), places AS (SELECT doc_id, ts, unnest(range(len(ts))) AS i FROM ts),
+    firsts AS (SELECT doc_id, ts, i, regexp_replace(ts[i + 1], '^[^a-z0-9]+', '') AS w FROM places),
+    hit AS (SELECT doc_id, CAST(i AS INT) AS place, CAST(len(parts) AS INT) AS n_words, surface, CASE WHEN n = 1 THEN e END AS entity_id, n AS n_entities FROM firsts JOIN known ON w = parts[1] AND w || array_to_string(ts[i + 2 : i + len(parts)], '') = surface),
+    best AS (SELECT doc_id, place, max(n_words) AS n_words FROM hit GROUP BY ALL),
+    step AS (SELECT *, min(place) OVER (PARTITION BY doc_id ORDER BY place RANGE BETWEEN n_words FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM best),
+    taken AS (SELECT doc_id, min(place) AS place FROM best GROUP BY doc_id UNION ALL SELECT t.doc_id, s.after FROM taken t JOIN step s ON t.doc_id = s.doc_id AND t.place = s.place WHERE s.after IS NOT NULL)
+    SELECT h.*, t.place IS NOT NULL AND h.n_words = b.n_words AS kept FROM hit h JOIN best b USING (doc_id, place) LEFT JOIN taken t USING (doc_id, place)""")
+def entity_mentions(spark, sf_dir):
+    """Surfaces of one to five words (openings of benchmark passages, names of parts, two common ones) in all documents, with places and overlaps."""
+    b = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("item:"), "item_id").alias("entity_id"), F.expr("array_join(slice(split(text, ' '), 1, 1 + cast(item_id % 5 AS INT)), ' ')").alias("surface"))
+    p = read(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_partkey"), "p_name")
+    common = spark.createDataFrame([("word:the", "The"), ("word:of the", "of the")], "entity_id string, surface string")
+    return mention_ops.find_all(read(spark, sf_dir, "documents"), "doc_id", mention_ops.token_trie(b.union(p).union(common).withColumn("status", F.lit("register"))))
+
+
 @query(r"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, concat_ws('|', 'close valve', 'stop unit ' || l_linenumber, 'wait') AS steps, CAST(3 AS INT) AS n FROM lineitem""")
 def list_split(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem").withColumn("s", F.expr("concat('close valve, then stop unit ', l_linenumber, ', wait')"))  # noqa: E741

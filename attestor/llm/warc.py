@@ -196,7 +196,8 @@ class LoserTree:
 def merge_runs(entries: DataFrame, parts: int | None = None) -> DataFrame:
     """The runs' entries in one global order, with (range_no, position). entries should be a written table: it is read twice."""
     parts = parts or max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // RANGE_ENTRIES))
-    dealt = entries.repartitionByRange(parts, "url_key", "captured", "page_id").sortWithinPartitions("run", "seq")
+    # run and place last: any number of equal entries is cut into ranges, and equal ones stay in the order of their runs
+    dealt = entries.repartitionByRange(parts, "url_key", "captured", "page_id", "run", "seq").sortWithinPartitions("run", "seq")
 
     def run(batches):
         held = [b for b in batches if b.num_rows]

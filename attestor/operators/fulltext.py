@@ -17,14 +17,33 @@ from attestor.functions import text
 from attestor.functions.workers import stored
 from attestor.sources.versions import Versions
 
-#: Documents of a window, folders of a batch, windows scored first for each query, and query terms that prune the read.
-WINDOW, BUCKETS, PROBE, MOST_PRUNED = 256, 32, 8, 2000
+#: Documents of a window, folders of a batch, parts of a folder, windows scored first for each query, and query terms that prune the read.
+WINDOW, BUCKETS, SLICES, PROBE, MOST_PRUNED = 256, 32, 8, 8, 2000
 
 
 def bucket(term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _counted(placed: DataFrame) -> DataFrame:
+    """(doc, dl, window, term, tf) from (doc, dl, window, ts): a document's tokens are counted where it lies, a batch of documents at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = placed.schema["doc"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(3)
+            coded = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+            key, tf = np.unique(row * max(len(coded.dictionary), 1) + np.asarray(coded.indices), return_counts=True)
+            row, term = (pa.array(x) for x in np.divmod(key, max(len(coded.dictionary), 1)))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in range(3)), coded.dictionary.take(term), pa.array(tf, pa.int32())], ["doc", "dl", "window", "term", "tf"])
+
+    return placed.mapInArrow(run, f"doc {kind}, dl int, window long, term string, tf int")
+
+
 def append(spark: SparkSession, path: str, docs: DataFrame, doc_id: str, name: str, text_col: str = "text") -> int:
     """Add a batch of documents to the index at `path` and return its version; a batch of a known name changes nothing.
 
@@ -39,12 +58,12 @@ def append(spark: SparkSession, path: str, docs: DataFrame, doc_id: str, name: s
     sizes = tokens.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("length")).collect()  # at most 124 classes
     parts = spark.createDataFrame([(r["class"], -(-r["n"] // WINDOW)) for r in sizes], "class int, parts long")
     placed = tokens.join(F.broadcast(parts), "class").withColumn("window", F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("doc"), "parts"))
-    counted = placed.select("doc", "dl", "window", F.explode("ts").alias("term")).groupBy("term", "window", "doc", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    blocks = counted.groupBy("term", "window").agg(
-        F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("postings"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")
-    )  # a block has the documents of one window at most
-    blocks = blocks.withColumns({"bucket": bucket(), "batch": F.lit(base + 1)})
-    blocks.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(folder)
+    counted = _counted(placed.select("doc", "dl", "window", "ts")).withColumns({"bucket": bucket(), "slice": F.pmod("window", F.lit(SLICES))})
+    # one exchange for groups and files; a common term is cut by windows
+    dealt = counted.repartition("bucket", "slice").groupBy("bucket", "slice", "term", "window")
+    blocks = dealt.agg(F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("postings"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    blocks = blocks.drop("slice").withColumn("batch", F.lit(base + 1))  # a block has the documents of one window at most
+    blocks.sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(folder)
     return index.commit(name, folder, base, docs=sum(r["n"] for r in sizes), length=sum(r["length"] for r in sizes), schema=blocks.schema.json())
 
 

@@ -114,14 +114,14 @@ def find_all(docs: DataFrame, doc_id: str, trie: DataFrame, text_col: str = "tex
     """
     trie = stored(trie, "trie")
     deepest = trie.agg(F.max("depth")).first()[0] or 0
-    cut = docs.select(doc_id, F.expr(f"regexp_extract_all(lower({text_col}), {PIECE})").alias("ts")).filter("size(ts) > 0")
-    each = f"transform(sequence(0, size(ts) - 1), i -> named_struct('place', i, 'token', regexp_replace(ts[i], '^[^a-z0-9]+', ''), 'rest', slice(ts, i + 2, {max(deepest - 1, 1)})))"
+    cut = docs.select(doc_id, F.expr(f"regexp_extract_all(lower({text_col}), {PIECE})").alias("ts"), F.expr(f"regexp_extract_all(lower({text_col}), '[a-z0-9]+', 0)").alias("ws")).filter("size(ts) > 0")
+    each = f"transform(ws, (w, i) -> named_struct('place', i, 'token', w, 'rest', slice(ts, i + 2, {max(deepest - 1, 1)})))"
     alive = cut.select(doc_id, F.inline(F.expr(each))).withColumns({"node": F.lit(0).cast(NODE), "said": F.lit("")})
     found = None
     for depth in range(1, deepest + 1):
         level = trie.filter(F.col("depth") == depth).drop("depth")
         met = alive.join(level, (alive["node"] == level["parent"]) & (alive["token"] == level["token"]))
-        met = stored(met.select(doc_id, "place", "rest", F.concat("said", alive["token"]).alias("said"), F.col("child").alias("node"), "more", "surface", "entity_id", "n_entities"), f"depth{depth}")
+        met = stored(met.select(doc_id, "place", F.when(F.col("more"), F.col("rest")).alias("rest"), F.concat("said", alive["token"]).alias("said"), F.col("child").alias("node"), "more", "surface", "entity_id", "n_entities"), f"depth{depth}")
         # nodes are told apart by hashes: what was read must be the surface itself
         hits = met.filter("surface = said").select(doc_id, "place", F.lit(depth).alias("n_words"), "surface", "entity_id", "n_entities")
         found = hits if found is None else found.unionByName(hits)

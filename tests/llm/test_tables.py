@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from attestor.llm import ann, warc
 from attestor.llm.common import prepare
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(autouse=True)
@@ -155,3 +156,13 @@ def test_empty_table_goes_through_every_stage(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.collect() == [] and docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "part"], name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect() == []
+
+
+def test_equal_entries_are_cut_into_ranges(spark):
+    rows = spark.range(4000).selectExpr("'run' AS run", "id AS seq", "cast(NULL AS string) AS url_key", "timestamp'2024-01-01 00:00:00' AS captured", "cast(NULL AS bigint) AS page_id")
+    for name in warc.ENTRY.split(", ")[5:]:
+        rows = rows.withColumn(name.split()[0], F.lit(None).cast(name.split()[1].replace("long", "bigint")))
+    got = warc.merge_runs(rows, parts=4).select("range_no", "position", "seq").collect()
+    sizes = [sum(r["range_no"] == k for r in got) for k in range(4)]
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+    assert [r["seq"] for r in sorted(got, key=lambda r: (r["range_no"], r["position"]))] == list(range(4000))

@@ -103,7 +103,20 @@ def corroboration(claims: DataFrame) -> DataFrame:
     return claims.join(group, on).select("claim_id", "n_independent", "n_derived")
 
 
-def infer_mapping(claims: DataFrame, map_predicates=("normal_operating_pressure", "alarm_trigger_condition", "reset_pressure_limit")) -> DataFrame:
+MAPPED = ("normal_operating_pressure", "alarm_trigger_condition", "reset_pressure_limit")
+
+
+def mapping_targets(claims: DataFrame, map_predicates=MAPPED) -> DataFrame:
+    """Stated quantities that a config value may stand for, with target; a condition's bound counts as its value."""
+    stated = visible(claims).filter(F.col("predicate").isin(*map_predicates) & (F.col("assertion_kind") == "stated") & ~F.col("needs_review"))
+    if "cond_value" in stated.columns:
+        bound = F.col("value_type") == "condition"
+        stated = stated.withColumn("value", F.when(bound, F.col("cond_value")).otherwise(F.col("value"))).withColumn("unit", F.when(bound, F.col("cond_unit")).otherwise(F.col("unit")))
+    stated = stated.filter(F.col("value_type").isin("quantity", "condition") & F.col("value").isNotNull())
+    return stated.withColumn("target", F.concat_ws(" of ", "predicate", "entity_id"))
+
+
+def infer_mapping(claims: DataFrame, map_predicates=MAPPED) -> DataFrame:
     """Config values that equal stated values in an overlapping scope: (claim_id, target, ambiguous); target where there is just one.
 
     Both sides are folded to distinct (value, unit, scope) before they meet, the stated ones with their least and greatest
@@ -112,13 +125,8 @@ def infer_mapping(claims: DataFrame, map_predicates=("normal_operating_pressure"
     scopes = ["rev_kind", "rev_lo", "rev_hi", "rev_lo_inc", "rev_hi_inc", "lo_k", "hi_k", "sensor_kind", "sensor_ids"]
     v = visible(claims)
     keys = v.filter("predicate = 'config_key_value' AND value_type = 'quantity'")
-    stated = v.filter(F.col("predicate").isin(*map_predicates) & (F.col("assertion_kind") == "stated") & ~F.col("needs_review"))
-    if "cond_value" in stated.columns:  # a condition's bound counts as its value
-        bound = F.col("value_type") == "condition"
-        stated = stated.withColumn("value", F.when(bound, F.col("cond_value")).otherwise(F.col("value"))).withColumn("unit", F.when(bound, F.col("cond_unit")).otherwise(F.col("unit")))
-    stated = stated.filter(F.col("value_type").isin("quantity", "condition") & F.col("value").isNotNull())
-    target = F.concat_ws(" of ", "predicate", "entity_id")
-    b = stated.groupBy("value", "unit", *[F.col(s).alias(f"b_{s}") for s in scopes]).agg(F.min(target).alias("low"), F.max(target).alias("high"))
+    stated = mapping_targets(claims, map_predicates)
+    b = stated.groupBy("value", "unit", *[F.col(s).alias(f"b_{s}") for s in scopes]).agg(F.min("target").alias("low"), F.max("target").alias("high"))
     a = keys.select("value", "unit", *[F.col(s).alias(f"a_{s}") for s in scopes]).distinct()
     met = a.join(b, ["value", "unit"]).filter(F.expr(scope.scope_relation("a_", "b_") + " = 'OVERLAP'"))
     per = met.groupBy("value", "unit", *[f"a_{s}" for s in scopes]).agg(F.min("low").alias("low"), F.max("high").alias("high"))

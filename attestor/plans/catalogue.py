@@ -1,9 +1,9 @@
 """All queries of the engine, and the SQL that says what they return."""
 
 from attestor.functions.workers import prepare
-from attestor.plans import mini_corpus, synthetic_queries, text_queries
+from attestor.plans import derived_queries, mini_corpus, synthetic_queries, text_queries
 
-MODULES = [synthetic_queries, text_queries, mini_corpus]
+MODULES = [synthetic_queries, text_queries, derived_queries, mini_corpus]
 
 
 def _with_workers(query):

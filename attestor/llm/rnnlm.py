@@ -8,7 +8,7 @@ its output is P(class | state) * P(symbol | class, state) over symbols in classe
 alike; a word outside the known ones has its spelling's probability times its smoothed count among all words so spelt, and
 each word not seen in training gets the whole reserve of its spelling. The network is a gated recurrent unit trained by
 truncated backpropagation on all training documents: replicas train on groups of documents, chosen and ordered by a hash of
-id and content, and their weights are averaged after each round. Scoring carries the state through a whole document and
+id and content (and of their number among repeated rows), and their weights are averaged after each round. Scoring carries the state through a whole document and
 resets it at the next; no text is cut.
 
 Defined results: null and empty texts are the end token alone; a null id counts as the text '' for the split; without
@@ -32,7 +32,8 @@ HIDDEN, WINDOW, LANES = 32, 16, 256
 #: Tokens a replica sees in all its rounds, aimed at; replicas grow with the corpus.
 REPLICA_TOKENS, ROUNDS, RATE = 8_000_000, 3, 4e-3
 ALPHA = 0.1
-SUMMERS = 16
+#: Weights that one task adds up at a time; copies of a row that one task makes.
+FAN_IN, COPIES = 16, 4096
 
 
 def spelling(word: str) -> int:
@@ -337,16 +338,36 @@ def _replica(shared, end: int, rate: float):
     return run
 
 
-def _add(t: pa.Table) -> pa.Table:
+def _add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     rows = t.column("weights").to_pylist()
     total = np.frombuffer(rows[0], "<f4").copy()
     for r in rows[1:]:
         total += np.frombuffer(r, "<f4")
-    return pa.table({"size": pa.array([sum(t.column("size").to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "size": pa.array([sum(t.column("size").to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
+
+
+def summed(own: DataFrame, groups: int) -> DataFrame:
+    """Sums of sizes and weights, in a tree: FAN_IN tables at most meet in a task, and FAN_IN rows at most are left. own: (g from 0 to groups - 1, size, weights)."""
+    while groups > FAN_IN:
+        own = own.groupBy(F.floor(F.col("g") / FAN_IN).cast("int").alias("part")).applyInArrow(_add, "g int, size long, weights binary")
+        groups = -(-groups // FAN_IN)
+    return own
+
+
+def dealt(symbols: DataFrame, at: str) -> DataFrame:
+    """(h, ids) with a hash of its own for each copy of a repeated row, so that copies spread over replicas and rounds like other rows.
+
+    symbols: (h, ids), h being a hash of all that a row is. Copies are counted before they meet and dealt out in blocks.
+    """
+    repeated = written(symbols.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), f"{at}/repeated")
+    counted = symbols.join(repeated, "h", "left_semi").groupBy("h", "ids").agg(F.count(F.lit(1)).alias("n"))
+    blocks = counted.select("h", "ids", "n", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)")).alias("first")).repartition("h", "first")
+    copies = blocks.select(F.explode(F.expr(f"sequence(first, least(first + {COPIES}, n) - 1)")).alias("copy"), "h", "ids").select(F.xxhash64("h", "copy").alias("h"), "ids")
+    return symbols.join(repeated, "h", "left_anti").select("h", "ids").unionByName(written(copies, f"{at}/copies"))
 
 
 def fit(symbols: DataFrame, p: dict, end: int, tokens: int, replica_tokens: int = REPLICA_TOKENS, rounds: int = ROUNDS) -> dict:
-    """Rounds of local training and averaging. symbols: (h long, ids binary), written. The driver gets at most SUMMERS sums of weights."""
+    """Rounds of local training and averaging. symbols: (h long, ids binary), written. The driver gets at most FAN_IN sums of weights."""
     spark = symbols.sparkSession
     groups = max(1, -(-tokens // replica_tokens))
     placed = symbols.withColumn("g", F.pmod(F.col("h"), F.lit(groups)).cast("int")).withColumn("round", F.pmod(F.shiftrightunsigned("h", 32), F.lit(rounds)).cast("int"))
@@ -354,7 +375,7 @@ def fit(symbols: DataFrame, p: dict, end: int, tokens: int, replica_tokens: int
         shared = spark.sparkContext.broadcast(p)
 
         own = placed.filter(F.col("round") == k).select("g", "h", "ids").groupBy("g").applyInArrow(_replica(shared, end, RATE / (1 + k)), "g int, size long, weights binary")
-        sums = own.groupBy((F.col("g") % SUMMERS).alias("s")).applyInArrow(_add, "size long, weights binary").collect()
+        sums = summed(own, groups).collect()
         if sums:
             total, size = sum(np.frombuffer(bytes(r["weights"]), "<f4").astype(np.float64) for r in sums), sum(r["size"] for r in sums)
             p = unpack_weights((total / max(size, 1)).astype("<f4").tobytes(), p)
@@ -411,13 +432,13 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return pa.table([t.column("doc_id"), t.column("held_out"), *made], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "inside", "ids"])
 
     own = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, ids binary"
-    symbols = written(texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(symbols_of, own), f"{at}/symbols")
+    symbols = written(texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(symbols_of, own).withColumn("h", F.xxhash64("doc_id", "ids")), f"{at}/symbols")
     counts[HEAD:] = per[:, 0]
     weights = start(counts)
     if n:
-        training = symbols.filter(~F.col("held_out")).select(F.xxhash64("doc_id", "ids").alias("h"), "ids")
-        weights = fit(training, weights, end, n, replica_tokens=replica_tokens)
-    shared = spark.sparkContext.broadcast(weights)
+        training = symbols.filter(~F.col("held_out")).select("h", "ids")
+        weights = fit(dealt(training, at), weights, end, n, replica_tokens=replica_tokens)
+    shared, symbols = spark.sparkContext.broadcast(weights), symbols.drop("h")
 
     def score_rows(batches):
         for t in batches_by_bytes(batches, "ids", 6 << 20):

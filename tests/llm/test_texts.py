@@ -344,3 +344,23 @@ def test_words_of_any_kind_get_the_tokenizers_ids():
     texts = ["<|endoftext|> a<|b", "", None] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(800)]
     for text, ids in zip(texts, packing.token_ids(pa.array(texts, pa.string()), path)):
         assert ids.tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_repeated_rows_are_dealt_out(spark, tmp_path):
+    rows = spark.createDataFrame([(5, b"ab")] * 9000 + [(6, b"ab")] * 2 + [(7, b"c"), (8, b"")], "h long, ids binary")
+    got = rnnlm.dealt(rows, str(tmp_path)).toPandas()
+    assert got.h.nunique() == len(got) == 9004 and {7, 8} <= set(got.h)
+    assert sorted(map(bytes, got.ids)) == [b""] + [b"ab"] * 9002 + [b"c"]
+    groups = np.bincount(got.h % 48, minlength=48)  # as fit deals rows to groups
+    assert groups.min() > 100 and groups.max() < 300
+    assert sorted(got.h) == sorted(rnnlm.dealt(rows.repartition(3), str(tmp_path)).toPandas().h)
+    assert rnnlm.dealt(rows.limit(0), str(tmp_path)).count() == 0
+
+
+def test_weights_are_summed_in_a_tree(spark):
+    tables = [np.array([k, 1, -k], "<f4") for k in range(600)]
+    own = spark.createDataFrame([(k, k + 1, t.tobytes()) for k, t in enumerate(tables) if k % 7], "g int, size long, weights binary")
+    got = rnnlm.summed(own, 600).collect()
+    assert len(got) == 3 <= rnnlm.FAN_IN
+    assert sum(np.frombuffer(bytes(r["weights"]), "<f4") for r in got).tolist() == sum(t for k, t in enumerate(tables) if k % 7).tolist()
+    assert sum(r["size"] for r in got) == sum(k + 1 for k in range(600) if k % 7)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions import quantity, scope
+from attestor.functions.workers import shuffled
 
 #: Predicates in words. Fixed values.
 IN_WORDS = {
@@ -70,7 +71,7 @@ def citation_balance(selected: DataFrame, cited: DataFrame, by: str) -> DataFram
 def forbidden(disposed: DataFrame, reps: DataFrame) -> DataFrame:
     """Quantities that a slot excluded by a disjoint scope and no representative has: they may not be stated as fact."""
     out = disposed.filter("disposition = 'excluded: scope disjoint' AND value_type = 'quantity'").select("question_id", "predicate", "value", "unit", "vkey").distinct()
-    return out.join(reps.select("question_id", "vkey"), ["question_id", "vkey"], "left_anti").drop("vkey")
+    return out.join(shuffled(reps.select("question_id", "vkey")), ["question_id", "vkey"], "left_anti").drop("vkey")
 
 
 def compose(reps: DataFrame, status: DataFrame, gaps: DataFrame) -> DataFrame:

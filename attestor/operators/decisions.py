@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attestor.functions.workers import shuffled
 from attestor.operators.answer import IN_WORDS, words_for
 from attestor.plans.ontology import place
 
@@ -30,7 +31,7 @@ def decisions(slots: DataFrame, reps: DataFrame, conflicts: DataFrame, advisorie
     for name in ("unresolved", "narrowed"):
         if name not in slots.columns:
             slots = slots.withColumn(name, F.lit(False))
-    open_ = slots.filter("NOT unresolved").join(reps.select("question_id", "slot_no").distinct(), ["question_id", "slot_no"], "left_anti")
+    open_ = slots.filter("NOT unresolved").join(shuffled(reps.select("question_id", "slot_no").distinct()), ["question_id", "slot_no"], "left_anti")
     found = [
         _rows(slots.filter("narrowed"), "SCOPE_ASSUMPTION", "concat(coalesce(rev_lo, ''), '..', coalesce(rev_hi, ''))", "concat('The question was restricted to software revisions ', IF(rev_lo IS NULL, '', concat('from ', rev_lo, ' ')), IF(rev_hi IS NULL, 'on', concat('to ', rev_hi)), '.')"),
         _rows(slots.filter("unresolved"), "FALSE_PREMISE", "predicate", f"concat('The question names nothing in the corpus that has a ', {words}, '.')"),
@@ -78,20 +79,20 @@ def contract(status: DataFrame, selected: DataFrame, sentences: DataFrame, decid
     may = may.select("question_id", F.explode(F.array("n", F.regexp_replace("n", r"^(\d+)\.0+$", "$1"))).alias("number")).distinct()
     never = barred.select("question_id", F.regexp_replace(F.col("value").cast("string"), r"\.0$", "").alias("number")).distinct()
     picked, by_claim, by_no = selected.select("question_id", "claim_id").distinct(), ["question_id", "claim_id"], ["question_id", "decision_no"]
-    told = decided.join(shown, by_no, "left_semi")
+    told = decided.join(shuffled(shown), by_no, "left_semi")
 
     def fail(df: DataFrame, name: str, detail: str) -> DataFrame:
         return df.select("question_id", F.lit(name).alias("failure"), F.col(detail).cast("string").alias("detail"))
 
-    partial = status.filter("status = 'PARTIAL'").join(told.filter("kind = 'GAP'"), "question_id", "left_anti")
-    silent = status.filter("status = 'UNANSWERABLE'").join(source, "question_id", "left_semi")
+    partial = status.filter("status = 'PARTIAL'").join(shuffled(told.filter("kind = 'GAP'")), "question_id", "left_anti")
+    silent = status.filter("status = 'UNANSWERABLE'").join(shuffled(source), "question_id", "left_semi")
     found = [
-        fail(cited.join(picked, by_claim, "left_anti"), "claim cited but not selected", "claim_id"),
-        fail(picked.join(cited, by_claim, "left_anti"), "claim selected but not cited", "claim_id"),
-        fail(shown.join(decided, by_no, "left_anti"), "decision not of this answer", "decision_no"),
-        fail(decided.filter("kind <> 'NOTE'").join(shown, by_no, "left_anti"), "decision not stated", "subject"),
-        fail(stated.join(may, ["question_id", "number"], "left_anti"), "number without a source", "number"),
-        fail(stated.join(never, ["question_id", "number"], "left_semi"), "value of another scope", "number"),
+        fail(cited.join(shuffled(picked), by_claim, "left_anti"), "claim cited but not selected", "claim_id"),
+        fail(picked.join(shuffled(cited), by_claim, "left_anti"), "claim selected but not cited", "claim_id"),
+        fail(shown.join(shuffled(decided), by_no, "left_anti"), "decision not of this answer", "decision_no"),
+        fail(decided.filter("kind <> 'NOTE'").join(shuffled(shown), by_no, "left_anti"), "decision not stated", "subject"),
+        fail(stated.join(shuffled(may), ["question_id", "number"], "left_anti"), "number without a source", "number"),
+        fail(stated.join(shuffled(never), ["question_id", "number"], "left_semi"), "value of another scope", "number"),
         fail(selected.filter("NOT quoted"), "quote not in its source", "claim_id"),
         fail(silent, "unanswerable but stated", "status"),
         fail(partial, "partial without a gap", "status"),

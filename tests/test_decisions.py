@@ -1,8 +1,11 @@
 """Decisions, the contract of an answer, and what stands behind it."""
 
 import pytest
-from attestor.operators import decisions, provenance
+from attestor.functions.workers import stored
+from attestor.operators import decisions, provenance, relate, resolve
+from attestor.plans import synthetic_queries, testbed
 
+SF = "/root/testdata/sf0.001"
 STATUS, SELECTED = "question_id long, status string", "question_id long, claim_id string, allowed array<string>, quoted boolean"
 SENTENCES = "question_id long, kind string, text string, claim_ids array<string>, decision_nos array<int>"
 DECIDED = "question_id long, decision_no int, kind string, slot_no int, subject string, text string"
@@ -66,3 +69,26 @@ def test_steps_of_a_named_procedure_come_along(spark):
     slots = spark.createDataFrame([(2, "IDENTITY", ["component:B", "component:A"]), (3, "IDENTITY", ["component:B", "component:C"]), (4, "PARAMETER", None)], "question_id long, policy string, pair array<string>")
     got = {tuple(r) for r in provenance.expansions(reps, slots, claims).collect()}
     assert got == {(1, "C2", "procedure steps"), (2, "C4", "identity"), (2, "C5", "identity")}
+
+
+@pytest.mark.parametrize("query", ["answer_gate", "decisions", "contract_checks"])
+def test_what_grows_with_the_questions_is_never_sent_whole_to_all_tasks(spark, query):
+    plan = synthetic_queries.QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "o_orderkey" not in x]  # the test bed's own join of two plain tables
+    assert "SortMergeJoin" in plan and not sent
+
+
+def test_slots_of_unknown_number_are_dealt_out(spark):
+    slots = synthetic_queries.slots_of_parts(spark, SF)
+    met = resolve.candidates(testbed.claims(spark, SF), slots, kinds=("entity",))
+    assert "[s_predicate" not in "".join(x for x in met._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x)
+    beside = resolve.advisories(testbed.claims(spark, SF), slots, named_only=True)
+    assert "[s_predicate" not in "".join(x for x in beside._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x)
+
+
+def test_conflicts_of_a_slot_are_those_of_all_relations(spark):
+    claims = testbed.claims(spark, SF)
+    disposed = stored(resolve.dispose(resolve.candidates(claims, synthetic_queries.slots_of_parts(spark, SF), kinds=("entity",))), "disposed")
+    rows = lambda df: sorted(map(tuple, df.select("question_id", "slot_no", "side_a", "side_b", "n_pairs", "docs").collect()))
+    got = rows(resolve.conflicts_within(disposed))
+    assert got and got == rows(resolve.conflicts(disposed, relate.relations(claims)))

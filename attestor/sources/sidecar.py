@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.functions.workers import shuffled
+
 
 def bind(sidecars: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused): sidecars (source, sha256, ...) are taken only for a file with the same path and digest."""
@@ -33,10 +35,10 @@ def schematic_edges(lines: DataFrame, boxes: DataFrame, legend: DataFrame, eps:
     b = b.withColumn("cy", F.explode(F.expr(f"sequence(cast(floor((y0 - {eps}) / {cell}) AS INT), cast(floor((y1 + {eps}) / {cell}) AS INT))")))
     ends = lines.selectExpr("drawing", "line_id", "r", "g", "b AS bl", "inline(array(named_struct('e', 'src', 'x', xa, 'y', ya), named_struct('e', 'dst', 'x', xb, 'y', yb)))")
     ends = ends.withColumn("cx", F.floor(F.col("x") / cell).cast("int")).withColumn("cy", F.floor(F.col("y") / cell).cast("int"))
-    hit = ends.join(b.select("drawing", "cx", "cy", "box_ord", "name", "x0", "y0", "x1", "y1"), ["drawing", "cx", "cy"]).filter(f"x BETWEEN x0 - {eps} AND x1 + {eps} AND y BETWEEN y0 - {eps} AND y1 + {eps}")
+    hit = ends.join(shuffled(b.select("drawing", "cx", "cy", "box_ord", "name", "x0", "y0", "x1", "y1")), ["drawing", "cx", "cy"]).filter(f"x BETWEEN x0 - {eps} AND x1 + {eps} AND y BETWEEN y0 - {eps} AND y1 + {eps}")
     at = hit.groupBy("drawing", "line_id", "r", "g", "bl").agg(F.min_by(F.when(F.col("e") == "src", F.col("name")), F.when(F.col("e") == "src", F.col("box_ord"))).alias("src"), F.min_by(F.when(F.col("e") == "dst", F.col("name")), F.when(F.col("e") == "dst", F.col("box_ord"))).alias("dst"))
     at = at.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
     near = [F.abs(F.col(c) - F.col(f"l{c}")) <= tolerance for c in ("r", "g", "bl")]
     key = legend.select("drawing", "legend_ord", "kind", F.col("r").alias("lr"), F.col("g").alias("lg"), F.col("b").alias("lbl"))
-    typed = at.join(key, "drawing").filter(near[0] & near[1] & near[2])
+    typed = at.join(shuffled(key), "drawing").filter(near[0] & near[1] & near[2])
     return typed.groupBy("drawing", "line_id", "src", "dst").agg(F.min_by("kind", "legend_ord").alias("kind"))

@@ -1,5 +1,7 @@
 """Decisions, the contract of an answer, and what stands behind it."""
 
+import re
+
 import pytest
 from attestor.functions.workers import stored
 from attestor.operators import decisions, provenance, relate, resolve
@@ -58,6 +60,33 @@ def test_decisions_are_ordered_and_told_once(spark):
     ]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decisions_are_dealt_out_once_and_without_their_sentences(spark):
+    slots = spark.createDataFrame([(1, 0, "mtbf", None, None), (1, 1, "approver", None, None)], "question_id long, slot_no int, predicate string, rev_lo string, rev_hi string")
+    reps = spark.createDataFrame([(1, 1, "C1", "inferred")], "question_id long, slot_no int, claim_id string, assertion_kind string")
+    sides = spark.createDataFrame([(1, 1, "a", "b", "d1,d2")], "question_id long, slot_no int, side_a string, side_b string, docs string")
+    beside = spark.createDataFrame([(1, 1, "C9", "needs review"), (1, 0, "C9", "needs review")], "question_id long, slot_no int, claim_id string, why string")
+    made = decisions.decisions(slots, reps, sides, beside)
+    plan = plan_of(made)
+    assert len(re.findall(r"hashpartitioning\(question_id#\d+L?, \d+\)", plan)) == 1 and "SortAggregate" not in plan
+    assert "Unverified" not in plan_of(made.drop("text"))
+    assert [r["text"] for r in made.orderBy("decision_no").collect()] == [
+        "Sources disagree: a against b (d1,d2) in an overlapping scope; neither is selected.", "No mean time between failures was found in the documents searched.",
+        "This is an inference (C1); no document states it directly.", "Unverified: C9 (needs review); it is not used in this answer.",
+    ]
+
+
+def test_the_contract_joins_decisions_only(spark):
+    rows = lambda columns, *values: spark.createDataFrame([(1, *v) for v in values], f"question_id long, {columns}")
+    selected, said, decided = rows("claim_id string, allowed array<string>, quoted boolean", (None, ["7"], None)), rows("kind string, text string, claim_ids array<string>, decision_nos array<int>", ("SOURCE", "7", [None], [2, 2])), rows("decision_no int, kind string, slot_no int, subject string, text string", (1, "NOTE", 0, "n", "t"), (2, "GAP", 0, "g", "t"))
+    made = decisions.contract(rows("status string", ("PARTIAL",)), selected, said, decided, rows("value double, unit string", (None, "bar")))
+    assert plan_of(made).count("SortMergeJoin") == 4
+    assert sorted((r["failure"], r["detail"]) for r in made.collect()) == [("claim cited but not selected", None), ("claim selected but not cited", None)]  # a null is no claim's id
+
+
 def test_steps_of_a_named_procedure_come_along(spark):
     cols = "claim_id string, entity_id string, predicate string, value_type string, value_id string, vkey string, tier string, lifecycle string, needs_review boolean, rev_kind string, rev_lo string, rev_hi string, rev_lo_inc boolean, rev_hi_inc boolean"
     row = lambda i, e, p, t, v, tier="primary", review=False: (i, e, p, t, v, f"{p}{v}", tier, "ADMITTED", review, "any", None, None, True, False)

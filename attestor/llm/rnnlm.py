@@ -32,6 +32,8 @@ HIDDEN, WINDOW, LANES = 32, 16, 256
 #: Tokens a replica sees in all its rounds, aimed at; replicas grow with the corpus.
 REPLICA_TOKENS, ROUNDS, RATE = 8_000_000, 3, 4e-3
 ALPHA = 0.1
+#: Rows of a symbol that are added up before their sums are.
+RUN = 24
 #: Weights that one task adds up at a time; copies of a row that one task makes.
 FAN_IN, COPIES = 16, 4096
 
@@ -46,10 +48,10 @@ def spelling(word: str) -> int:
 
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of two kinds. Documents: (chunk, doc_id, held_out, codes). Words: (chunk, code, token, spelling, times in training)."""
+    """Rows of two kinds. Documents: (chunk, doc_id, held_out, codes). Words: (chunk, code, token, times in training)."""
     import zstandard
 
-    schema = "kind int, chunk long, doc_id long, held_out boolean, codes binary, code int, token string, spelling int, times long"
+    schema = "kind int, chunk long, doc_id long, held_out boolean, codes binary, code int, token string, times long"
     held_out = F.crc32(id_text(id_col).cast("binary")) % 10 == 0
 
     def run(batches):
@@ -61,70 +63,88 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
             held = np.asarray(array_of(t, "held_out").to_numpy(zero_copy_only=False), bool)
             n, m = len(held), len(words)
             times = np.bincount(codes[np.repeat(~held, np.diff(offsets))], minlength=m)
-            listed = words.to_pylist()
             packed = [squeeze.compress(codes[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
             none = lambda size, kind: pa.nulls(size, kind)
             for at in range(0, n, 2048):
                 to = min(n, at + 2048)
                 s = to - at
-                yield pa.RecordBatch.from_arrays([pa.array([0] * s, pa.int32()), pa.array([chunk] * s, pa.int64()), array_of(t, "doc_id").slice(at, s), pa.array(held[at:to]), pa.array(packed[at:to], pa.binary()), none(s, pa.int32()), none(s, pa.string()), none(s, pa.int32()), none(s, pa.int64())], names)
-            listed.append(END)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * s, pa.int32()), pa.array([chunk] * s, pa.int64()), array_of(t, "doc_id").slice(at, s), pa.array(held[at:to]), pa.array(packed[at:to], pa.binary()), none(s, pa.int32()), none(s, pa.string()), none(s, pa.int64())], names)
+            listed = pa.concat_arrays([words, pa.array([END], words.type)])
             times = np.append(times, int((~held).sum()))
             for at in range(0, m + 1, 1 << 16):
                 to = min(m + 1, at + (1 << 16))
                 s = to - at
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(s), pa.int32()), pa.array([chunk] * s, pa.int64()), none(s, pa.int64()), none(s, pa.bool_()), none(s, pa.binary()), pa.array(range(at, to), pa.int32()), pa.array(listed[at:to], pa.string()), pa.array([0 if w == END else spelling(w) for w in listed[at:to]], pa.int32()), pa.array(times[at:to], pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(s), pa.int32()), pa.array([chunk] * s, pa.int64()), none(s, pa.int64()), none(s, pa.bool_()), none(s, pa.binary()), pa.array(np.arange(at, to), pa.int32()), listed.slice(at, s).cast(pa.string()), pa.array(times[at:to], pa.int64())], names)
 
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def spelt(counted: DataFrame) -> DataFrame:
+    """(token, c, spelling) of rows (token, c): each distinct word's spelling is looked at once, not once a chunk."""
+
+    def run(batches):
+        for t in batches:
+            kinds = [0 if w == END else spelling(w) for w in t.column("token").to_pylist()]
+            yield pa.RecordBatch.from_arrays([t.column("token"), t.column("c"), pa.array(kinds, pa.int32())], ["token", "c", "spelling"])
+
+    return counted.select("token", "c").mapInArrow(run, "token string, c long, spelling int")
+
+
 # ---- the network
 
 
 def start(counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights that give the symbols' unigram distribution whatever the state."""
+    """Weights that give the symbols' unigram distribution whatever the state.
+
+    x: what a symbol adds to the candidate and to the gate; u: what the state adds to the gate and to the candidate, apart, so
+    that each part lies in one piece. c, w: logits of classes and of each class's symbols, the bias in the last row.
+    """
     rng = np.random.default_rng(seed)
     h = HIDDEN
     per = counts.reshape(CLASSES, PER) + ALPHA
-    return {k: v.astype(np.float32) for k, v in {
-        "x": rng.normal(0, 0.3, (SYMBOLS, 2 * h)), "u": rng.normal(0, 1 / np.sqrt(h), (h, 2 * h)),
-        "c": np.zeros((h, CLASSES)), "cb": np.log(per.sum(1) / per.sum()),
-        "w": np.zeros((CLASSES, h, PER)), "wb": np.log(per / per.sum(1, keepdims=True)),
-    }.items()}
+    x, u = rng.normal(0, 0.3, (SYMBOLS, 2, h)), rng.normal(0, 1 / np.sqrt(h), (h, 2, h))
+    c, w = np.zeros((h + 1, CLASSES)), np.zeros((CLASSES, h + 1, PER))
+    c[h], w[:, h] = np.log(per.sum(1) / per.sum()), np.log(per / per.sum(1, keepdims=True))
+    return {k: np.ascontiguousarray(v, np.float32) for k, v in {"x": x[:, ::-1].transpose(1, 0, 2), "u": u.transpose(1, 0, 2), "c": c, "w": w}.items()}
 
 
-def step(p: dict, h: np.ndarray, x: np.ndarray):
-    """One step of a unit with one gate, which both forgets and resets: (new state, what backpropagation needs).
+def step(p: dict, h: np.ndarray, x: np.ndarray, slopes: np.ndarray | None = None):
+    """One step of a unit with one gate, which both forgets and resets: (new state, gate).
 
     gate = (1 + a / (1 + |a|)) / 2, a sigmoid without exponentials; new = h + gate * (tanh(in + gate * own) - h).
+    slopes, if given, gets the derivatives of the new state by the candidate's input, the gate's input, and the candidate's own.
     """
-    n = HIDDEN
-    g, a = p["x"][x], h @ p["u"]
-    f = g[:, :n] + a[:, :n]
-    low = np.abs(f)
+    (c, f), (a, own) = p["x"].take(x, axis=1), h @ p["u"]
+    f += a
+    low = np.abs(f, out=a)
     low += 1
-    f /= low
-    f += 1
-    f *= 0.5
-    ac = a[:, n:]
-    c = f * ac
-    c += g[:, n:]
+    np.divide(0.5, low, out=low)
+    f *= low
+    f += 0.5
+    new = f * own
+    c += new
     np.tanh(c, out=c)
     gap = c - h
-    return h + f * gap, (f, low, c, ac, gap)
-
-
-def _shifted_exp(s: np.ndarray, most: float) -> np.ndarray:
-    """exp of logits in place; the largest of each row is taken off only where their bound could overflow."""
-    if most > 40:
-        s -= s.max(1, keepdims=True)
-    return np.exp(s, out=s)
-
-
-def _bound(w: np.ndarray, b: np.ndarray) -> float:
-    """No logit h @ w + b is further from 0, as no component of a state exceeds 1."""
-    return float((np.abs(w).sum(-2) + np.abs(b)).max())
+    np.multiply(f, gap, out=new)
+    new += h
+    if slopes is not None:
+        by_input, by_gate, by_own = slopes
+        c *= c
+        np.subtract(1, c, out=c)
+        np.multiply(c, f, out=by_input)
+        np.multiply(by_input, f, out=by_own)
+        own *= by_input
+        own += gap
+        low *= low
+        low *= 2
+        np.multiply(own, low, out=by_gate)
+    return new, f
+
+
+def _bound(p: dict) -> float:
+    """No logit is further from 0, as no component of a state exceeds 1."""
+    return float(max(np.abs(p[k]).sum(-2).max() for k in "cw"))
 
 
 def by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,29 +153,74 @@ def by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(k, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(k, minlength=CLASSES)[:CLASSES])])
 
 
-def word_logits(p: dict, h: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Logits of the symbols of each row's class; rows in order of class."""
-    s = np.empty((len(h), PER), np.float32)
-    for q in np.flatnonzero(edge[1:] > edge[:-1]):
-        i = slice(edge[q], edge[q + 1])
-        np.add(h[i] @ p["w"][q], p["wb"][q], out=s[i])
-    return s
+def _slices(edge: np.ndarray) -> list[tuple[int, slice]]:
+    """The classes that occur, each with its rows."""
+    edge = edge.tolist()
+    return [(q, slice(a, b)) for q, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+
+
+def joined(p: dict) -> np.ndarray:
+    """For each class the weights of all classes and of its own symbols side by side, so that one product gives both logits."""
+    both = np.empty((CLASSES, HIDDEN + 1, CLASSES + PER), np.float32)
+    both[:, :, :CLASSES], both[:, :, CLASSES:] = p["c"], p["w"]
+    return both
+
+
+def exp_logits(both: np.ndarray, h: np.ndarray, parts: list[tuple[int, slice]], most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp of the logits of classes and of the symbols of each row's class, sums of both); rows in order of class, 1 in their last column.
+
+    The largest of each row is taken off only where their bound, most, could overflow.
+    """
+    s = np.empty((len(h), CLASSES + PER), np.float32)
+    for q, i in parts:  # each while it is at hand in the processor's cache
+        own = s[i]
+        np.dot(h[i], both[q], out=own)
+        if most > 40:
+            own[:, :CLASSES] -= own[:, :CLASSES].max(1, keepdims=True)
+            own[:, CLASSES:] -= own[:, CLASSES:].max(1, keepdims=True)
+        np.exp(own, out=own)
+    return s, s[:, :CLASSES] @ np.ones(CLASSES, np.float32), s[:, CLASSES:] @ np.ones(PER, np.float32)
 
 
 def log_probs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log of P(class | h) P(symbol | class, h)."""
+    return _log_probs(joined(p), _bound(p), np.column_stack([h, np.ones(len(h), np.float32)]), y)
+
+
+def _log_probs(both: np.ndarray, most: float, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     rows, edge = by_class(y)
-    h, y, i = h[rows], y[rows], np.arange(len(y))
-    s = _shifted_exp(h @ p["c"] + p["cb"], _bound(p["c"], p["cb"]))
-    found = s[i, y // PER] / s.sum(1)
-    s = _shifted_exp(word_logits(p, h, edge), _bound(p["w"], p["wb"]))
-    found *= s[i, y % PER]
-    found /= s.sum(1)
+    y, i = y[rows], np.arange(len(y))
+    s, of_classes, of_symbols = exp_logits(both, h.take(rows, axis=0), _slices(edge), most)
+    found = s[i, y // PER] / of_classes
+    found *= s[i, CLASSES + y % PER] / of_symbols
     out = np.empty(len(y))
     out[rows] = np.log(found)
     return out
 
 
+def sums_of_runs(rows: np.ndarray, at: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run the sum of rows[:, at[start : start + count]].
+
+    The k-th rows of all runs are added at once, and runs above RUN rows are first cut into pieces.
+    """
+    if counts.max() > RUN:
+        pieces = -(-counts // RUN)
+        first = np.cumsum(pieces) - pieces
+        within = RUN * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+        sums = sums_of_runs(rows, at, np.repeat(starts, pieces) + within, np.minimum(RUN, np.repeat(counts, pieces) - within))
+        return sums_of_runs(sums, np.arange(sums.shape[1]), first, pieces)
+    by = np.argsort(-counts, kind="stable")
+    starts = starts[by]
+    left = len(counts) - np.cumsum(np.bincount(counts, minlength=RUN + 1))  # runs of more than k rows
+    total = rows.take(at[starts], axis=1)
+    for k in range(1, int(counts.max())):
+        n = left[k]
+        total[:, :n] += rows.take(at[starts[:n] + k], axis=1)
+    out = np.empty_like(total)
+    out[:, by] = total
+    return out
+
+
 PAD = 0xFFFF
 
 
@@ -206,110 +271,126 @@ def score(p: dict, docs: list[np.ndarray], end: int) -> np.ndarray:
     h = np.zeros((y.shape[1], HIDDEN), np.float32)
     whose = [iter(d) for d in dealt]
     now = np.zeros(y.shape[1], np.int64)
-    states, targets, owners, held = [], [], [], 0
+    both, most = joined(p), _bound(p)
+    states, targets, owners, held = np.ones(((1 << 12) + y.shape[1], HIDDEN + 1), np.float32), [], [], 0
     for t in range(len(y)):
         n = lives[t]
         h = h[:n]
         if fresh[t]:
-            h = np.where(first[t, :n, None], np.float32(0), h)
+            h[first[t, :n]] = 0
             now = now.copy()
             for lane in np.flatnonzero(first[t]).tolist():
                 now[lane] = next(whose[lane])
         h, _ = step(p, h, x[t, :n])
-        states.append(h)
+        states[held : held + n, :HIDDEN] = h
         targets.append(y[t, :n])
         owners.append(now[:n])
         held += n
-        if held >= 1 << 13 or t == len(y) - 1:
-            total += np.bincount(np.concatenate(owners), weights=log_probs(p, np.concatenate(states), np.concatenate(targets)), minlength=len(docs))
-            states, targets, owners, held = [], [], [], 0
+        if held >= 1 << 12 or t == len(y) - 1:
+            total += np.bincount(np.concatenate(owners), weights=_log_probs(both, most, states[:held], np.concatenate(targets)), minlength=len(docs))
+            targets, owners, held = [], [], 0
     return total
 
 
 def train(p: dict, docs: list[np.ndarray], end: int, rate: float = RATE) -> dict:
     """One pass of truncated backpropagation; the state runs on from window to window."""
-    p = {k: v.copy() for k, v in p.items()}
     if not docs:
-        return p
-    m, v, count = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
+        return {k: a.copy() for k, a in p.items()}
+    # the weights of all but x in one piece, updated at once
+    dense = [k for k in sorted(p) if k != "x"]
+    cuts = np.cumsum([p[k].size for k in dense])[:-1]
+    named = lambda flat: {k: part.reshape(p[k].shape) for k, part in zip(dense, np.split(flat, cuts))}
+    weights = np.concatenate([p[k].ravel() for k in dense])
+    grads, m, v = np.empty_like(weights), np.zeros_like(weights), np.zeros_like(weights)
+    seen, count = np.zeros_like(p["x"]), 0
+    p, g = {"x": p["x"].copy(), **named(weights)}, named(grads)
     y, first, _ = streams(docs, LANES, seed=len(docs))
     x = inputs(y, first, end)
     n, width = HIDDEN, y.shape[1]
     steps, lives = -(-len(y) // WINDOW), (y != PAD).sum(1)
     x[x == PAD] = end
-    bounds = 0.0, 0.0
+    bound = 0.0
     h = np.zeros((width, n), np.float32)
+    by_class_grads = np.empty((CLASSES, n + 1, CLASSES + PER), np.float32)
     for at in range(0, len(y), WINDOW):
         span, live = min(WINDOW, len(y) - at), int(lives[at])
         begins = first[at : at + span, :live]
         fresh = begins.any(1)
-        befores, states = np.empty((span, live, n), np.float32), np.empty((span, live, n), np.float32)
-        saved, h = [], h[:live]
+        befores, states = np.empty((span, live, n), np.float32), np.empty((span, live, n + 1), np.float32)
+        states[:, :, n] = 1
+        slopes, gates, h = np.empty((3, span, live, n), np.float32), [], h[:live]
         for t in range(span):
             if fresh[t]:
-                h = np.where(begins[t, :, None], np.float32(0), h)
+                h[begins[t]] = 0
             befores[t] = h
-            h, own = step(p, h, x[at + t, :live])
-            states[t] = h
-            saved.append(own)
+            h, gate = step(p, h, x[at + t, :live], slopes[:, t])
+            states[t, :, :n] = h
+            gates.append(gate)
         goal = y[at : at + span, :live].ravel()
         rows, edge = by_class(goal)
-        rows = rows[: edge[CLASSES]]  # what fills the lanes comes last
-        yo, ho, share, i = goal[rows], states.reshape(-1, n)[rows], np.float32(1 / len(rows)), np.arange(len(rows))
+        rows, parts = rows[: edge[CLASSES]], _slices(edge)  # what fills the lanes comes last
+        yo, ho, share, i = goal[rows], states.reshape(-1, n + 1).take(rows, axis=0), np.float32(1 / len(rows)), np.arange(len(rows))
         if at % (64 * WINDOW) == 0:  # 64 small steps do not lift them to where exp overflows
-            bounds = _bound(p["c"], p["cb"]), _bound(p["w"], p["wb"])
-        s = _shifted_exp(ho @ p["c"] + p["cb"], bounds[0])
-        s *= share / s.sum(1, keepdims=True)
-        s[i, yo // PER] -= share
-        g = {"c": ho.T @ s, "cb": s.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-        out = s @ p["c"].T
-        s = _shifted_exp(word_logits(p, ho, edge), bounds[1])
-        s *= share / s.sum(1, keepdims=True)
-        s[i, yo % PER] -= share
-        for q in np.flatnonzero(edge[1:] > edge[:-1]):
-            of = slice(edge[q], edge[q + 1])
-            g["w"][q], g["wb"][q] = ho[of].T @ s[of], s[of].sum(0)
-            out[of] += s[of] @ p["w"][q].T
-        back = np.zeros((len(goal), n), np.float32)
-        back[rows] = out
-        back = back.reshape(span, live, n)
-        dh, dx, da = np.zeros((live, n), np.float32), np.empty((span, live, 2 * n), np.float32), np.empty((span, live, 2 * n), np.float32)
+            bound = _bound(p)
+        both = joined(p)
+        s, of_classes, of_symbols = exp_logits(both, ho, parts, bound)
+        s[:, :CLASSES] *= (share / of_classes)[:, None]
+        s[:, CLASSES:] *= (share / of_symbols)[:, None]
+        i *= CLASSES + PER
+        s.reshape(-1)[np.concatenate([i + yo // PER, i + CLASSES + yo % PER])] -= share
+        out = np.zeros((len(rows) + 1, n), np.float32)  # the last for what fills the lanes
+        if len(parts) < CLASSES:
+            by_class_grads[:] = 0
+        for q, of in parts:
+            np.dot(ho[of].T, s[of], out=by_class_grads[q])
+            np.dot(s[of], both[q, :n].T, out=out[of])
+        np.sum(by_class_grads[:, :, :CLASSES], axis=0, out=g["c"])
+        g["w"][:] = by_class_grads[:, :, CLASSES:]
+        place = np.full(len(goal), len(rows))
+        place[rows] = np.arange(len(rows))
+        back, dh, turned = out.take(place, axis=0).reshape(span, live, n), np.zeros((live, n), np.float32), p["u"].transpose(0, 2, 1)
         for t in range(span - 1, -1, -1):
-            f, low, c, ac, gap = saved[t]
             dh += back[t]
-            c *= c
-            np.subtract(1, c, out=c)
-            c *= dh
-            c *= f
-            gap *= dh
-            ac *= c
-            gap += ac
-            low *= low
-            gap /= low
-            gap *= 0.5
-            dx[t, :, :n] = da[t, :, :n] = gap
-            dx[t, :, n:] = c
-            np.multiply(c, f, out=da[t, :, n:])
-            dh -= dh * f
-            dh += da[t] @ p["u"].T
+            own = slopes[:, t]
+            own *= dh  # now the derivatives of the loss
+            gates[t] *= dh
+            dh -= gates[t]
+            dh += own[1] @ turned[0]
+            dh += own[2] @ turned[1]
             if fresh[t]:
-                dh *= ~begins[t, :, None]
-        g["u"] = befores.reshape(-1, n).T @ da.reshape(-1, 2 * n)
+                dh[begins[t]] = 0
+        for k in range(2):
+            np.dot(befores.reshape(-1, n).T, slopes[1 + k].reshape(-1, n), out=g["u"][k])
         sym = x[at : at + span, :live].ravel()
-        order = np.argsort(sym, kind="stable")
-        own = sym[order]
-        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        used, gx = own[edges], np.add.reduceat(dx.reshape(-1, 2 * n)[order], edges, axis=0)
+        times = np.bincount(sym, minlength=SYMBOLS)
+        used = np.flatnonzero(times)
+        times = times[used]
+        gx = sums_of_runs(slopes[:2].reshape(2, -1, n), np.argsort(sym, kind="stable"), np.cumsum(times) - times, times)
         count += 1
         lr = rate * (1 - 0.9 * (at / WINDOW) / steps)
         fix1, fix2 = 1 - 0.9**count, 1 - 0.99**count
-        for key, grad in g.items():
-            np.clip(grad, -1, 1, out=grad)
-            m[key] += 0.1 * (grad - m[key])
-            v[key] += 0.01 * (grad * grad - v[key])
-            p[key] -= lr * (m[key] / fix1) / (np.sqrt(v[key] / fix2) + 1e-6)
-        v["x"][used] += gx * gx  # rows are sparse: their rates fall with what they have seen
-        p["x"][used] -= 10 * lr * gx / (np.sqrt(v["x"][used]) + 1e-6)
+        np.clip(grads, -1, 1, out=grads)
+        m *= 0.9
+        m += 0.1 * grads
+        v *= 0.99
+        grads *= grads
+        grads *= 0.01
+        v += grads
+        move = np.sqrt(v)
+        move *= 1 / np.sqrt(fix2)
+        move += 1e-6
+        np.divide(m, move, out=move)
+        move *= lr / fix1
+        weights -= move
+        for own, squares, table in zip(gx, seen, p["x"]):  # rows are sparse: their rates fall with what they have seen
+            total = squares.take(used, axis=0)
+            total += own * own
+            squares[used] = total
+            np.sqrt(total, out=total)
+            total += 1e-6
+            np.divide(own, total, out=total)
+            total *= 10 * lr
+            table[used] = table.take(used, axis=0) - total
     return p
 
 
@@ -387,11 +468,11 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     at = work_dir(spark)
     encode(docs, id_col=id_col, text_col=text_col).write.option("compression", "zstd").partitionBy("kind").parquet(f"{at}/encoded")
-    schema = "chunk long, doc_id long, held_out boolean, codes binary, code int, token string, spelling int, times long"
+    schema = "chunk long, doc_id long, held_out boolean, codes binary, code int, token string, times long"
     coded = spark.read.schema(schema + ", kind int").parquet(f"{at}/encoded")
-    texts, words = coded.filter("kind = 0").select("chunk", "doc_id", "held_out", "codes"), coded.filter("kind = 1").select("chunk", "code", "token", "spelling", "times")
+    texts, words = coded.filter("kind = 0").select("chunk", "doc_id", "held_out", "codes"), coded.filter("kind = 1").select("chunk", "code", "token", "times")
 
-    vocabulary = written(words.groupBy("token").agg(F.sum("times").alias("c"), F.max("spelling").alias("spelling")), f"{at}/vocabulary")
+    vocabulary = written(spelt(words.groupBy("token").agg(F.sum("times").alias("c"))), f"{at}/vocabulary")
     stats = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = int(stats["n"]), int(stats["v"])
     top = [(r["token"], r["c"]) for r in vocabulary.filter(F.col("c") > 0).filter(F.col("token") != END).orderBy(F.desc("c"), "token").limit(HEAD - 1).collect()]
@@ -407,7 +488,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for r in marked.filter("id IS NULL").groupBy("spelling").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect():
         per[r["spelling"]] = r["n"], r["v"]
     ids = F.coalesce(F.col("id"), F.col("spelling") + HEAD)
-    known = written(words.select("chunk", "code", "token").join(marked.select("token", "c", ids.alias("id")), "token").select("chunk", "code", "c", "id"), f"{at}/known")
+    once = marked.select("token", "c", ids.alias("id")).hint("shuffle_hash")  # a row for each word, so that no partition of it is large and neither side is sorted
+    known = written(words.select("chunk", "code", "token").join(once, "token").select("chunk", "code", "c", "id"), f"{at}/known")
 
     base_log = lambda c: np.log10((c + ALPHA) / (n + ALPHA * (v + 1)))
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from attestor.llm import fertility, langid, packing, rnnlm, simhash
 from attestor.llm.common import prepare, split_words
+from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " \n\t", "one", "Two words", "a b c d e", "ÀÉ \x1c x\x85y z", "<|endoftext|> <|EndOfText|>x don't İstanbul ΣΑΣ 漢字 e\u0301 ¼ x²", "z" * 50_000, "long text, whole. " * 6000]
@@ -235,6 +236,43 @@ def test_gradients_point_downhill():
     assert rnnlm.score(p, docs, 0).sum() > before * 0.8  # log probabilities are negative
 
 
+def test_slopes_of_a_step_are_its_derivatives():
+    rng = np.random.default_rng(12)
+    n = rnnlm.HIDDEN
+    p = {k: v.astype(float) for k, v in rnnlm.start(np.ones(rnnlm.SYMBOLS)).items()}
+    h, x, slopes = rng.normal(0, 0.4, (3, n)), np.array([5, 9, 5]), np.empty((3, 3, n))
+    new, gate = rnnlm.step(p, h, x, slopes)
+    assert new == pytest.approx(rnnlm.step(p, h, x)[0])
+    for k in range(2):  # the inputs of the candidate and of the gate
+        moved = {**p, "x": p["x"].copy()}
+        moved["x"][k] += 1e-6
+        assert (rnnlm.step(moved, h, x)[0] - new) / 1e-6 == pytest.approx(slopes[k], rel=1e-3, abs=1e-5)
+    e = np.eye(n)[3] * 1e-6  # by a component of the state before, through both products and past them
+    want = slopes[1] * p["u"][0][3] + slopes[2] * p["u"][1][3] + (1 - gate) * np.eye(n)[3]
+    assert (rnnlm.step(p, h + e, x)[0] - new) / 1e-6 == pytest.approx(want, rel=1e-3, abs=1e-5)
+
+
+def test_rows_of_a_symbol_are_summed_whole():
+    rng = np.random.default_rng(13)
+    for sym in (np.minimum(rng.zipf(1.2, 5000), 900), np.full(3000, 7), np.arange(40), np.repeat(np.arange(3), rnnlm.RUN)):
+        rows, counts = rng.normal(0, 1, (2, len(sym), 5)), np.bincount(sym)
+        want = np.zeros((2, len(counts), 5))
+        for k in range(2):
+            np.add.at(want[k], sym, rows[k])
+        counts = counts[counts > 0]
+        got = rnnlm.sums_of_runs(rows, np.argsort(sym, kind="stable"), np.cumsum(counts) - counts, counts)
+        assert got == pytest.approx(want[:, np.unique(sym)])
+
+
+def test_spellings_are_of_distinct_words_and_not_of_each_chunk(spark):
+    words = ["the", "The", "naïve", "9.", "a,", "x"]
+    coded = rnnlm.encode(docs_of(spark, [" ".join(words)] * 3).repartition(3))
+    assert "spelling" not in coded.columns
+    counted = coded.filter("kind = 1").groupBy("token").agg(F.sum("times").alias("c"))
+    want = {w: rnnlm.spelling(w) for w in (x.lower() for x in words)} | {rnnlm.END: 0}
+    assert {r["token"]: r["spelling"] for r in rnnlm.spelt(counted).collect()} == want
+
+
 def test_state_is_carried_and_reset():
     rng = np.random.default_rng(6)
     p = {k: v + rng.normal(0, 0.1, v.shape).astype(np.float32) for k, v in rnnlm.start(np.ones(rnnlm.SYMBOLS)).items()}
